@@ -58,7 +58,7 @@ def let(value: Column, body) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; the plain lower() is the same for text that is all ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+    return F.when(F.octet_length(text) > F.char_length(text), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

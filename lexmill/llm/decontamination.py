@@ -79,26 +79,39 @@ def _extend(words: Column, pos: Column, item: Column, ipos: Column) -> Column:
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, row_key, item_id, from, to): words from..to-1 of a document lie in windows of the item."""
+    """(doc_id, row_key, n_words, item_id, from, to): words from..to-1 of a document lie in windows of the item.
+
+    Every document also has a row with its n_words, whose from is null.
+    """
     row = lambda d: d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words_of(F.col("text")).alias("words"))
     items = cut(benchmark.select("item_id", words_of(F.col("text")).alias("item")).distinct(), "bench-items")
     prints = items.where(F.size("item") >= N).select("item_id", "item", F.explode(winnow(F.col("item"))).alias("f"))
     prints = cut(prints.select("item_id", "item", F.col("f.pos").alias("ipos"), F.col("f.key").alias("key")), "bench-prints")
-    return _met(docs, row, prints, winnow, N).unionByName(_short(docs, row, items)) if items.where(F.size("item").between(1, N - 1)).limit(1).count() else _met(docs, row, prints, winnow, N)
+    if items.where(F.size("item").between(1, N - 1)).limit(1).count():
+        return _met(docs, row, prints).unionByName(_short(docs, row, items))
+    return _met(docs, row, prints)
+
 
+#: The key of the row that carries a document's number of words; its place is negative, as no other's is.
+COUNT = 0
 
-def _met(docs: DataFrame, row, prints: DataFrame, grams, least: int) -> DataFrame:
+
+def _met(docs: DataFrame, row, prints: DataFrame) -> DataFrame:
     found = ["doc_id", "row_key", "item_id"]
+    count = F.struct((-1 - F.size("words")).alias("pos"), F.lit(COUNT).cast("long").alias("key"))
     if prints.count() <= FINGERPRINTS_TO_BROADCAST:
-        mine = row(docs).select("doc_id", "row_key", "words", F.explode(grams(F.col("words"))).alias("f"))
-        hits = mine.join(F.broadcast(prints), F.col("f.key") == F.col("key"))
+        counter = docs.sparkSession.range(1).select(F.lit(None).cast(prints.schema["item_id"].dataType).alias("item_id"), F.array().cast("array<string>").alias("item"), F.lit(-1).alias("ipos"), F.lit(COUNT).cast("long").alias("key"))
+        mine = row(docs).select("doc_id", "row_key", "words", F.explode(F.concat(winnow(F.col("words")), F.array(count))).alias("f"))
+        hits = mine.join(F.broadcast(prints.unionByName(counter)), (F.col("f.key") == F.col("key")) & ((F.col("f.pos") < 0) == (F.col("ipos") < 0)))
     else:
-        mine = row(docs).select("doc_id", "row_key", F.explode(grams(F.col("words"))).alias("f"))
+        mine = row(docs).select("doc_id", "row_key", F.explode(winnow(F.col("words"))).alias("f"))
         at = cut(mine.join(prints.drop("item"), F.col("f.key") == F.col("key")).select(*found, "f", "ipos"), "bench-hits")
         texts = row(docs).join(at.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "words")
         hits = at.join(texts, "row_key").join(prints.select("item_id", "item").distinct(), "item_id")
-    span = hits.select(*found, F.size("item").alias("n"), _extend(F.col("words"), F.col("f.pos"), F.col("item"), F.col("ipos")).alias("s"))
-    return span.where(F.col("s.to") - F.col("s.from") >= F.least(F.lit(N), F.col("n"))).select(*found, "s.from", "s.to")
+        counts = row(docs).select("doc_id", "row_key", F.lit(None).cast(prints.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("array<string>").alias("item"), F.lit(-1).alias("ipos"), count.alias("f"), F.array().cast("array<string>").alias("words"))
+        hits = hits.select(*found, "item", "ipos", "f", "words").unionByName(counts)
+    span = hits.select(*found, F.size("item").alias("n"), F.when(F.col("f.pos") < 0, (-1 - F.col("f.pos")).cast("long")).alias("n_words"), F.when(F.col("f.pos") >= 0, _extend(F.col("words"), F.col("f.pos"), F.col("item"), F.col("ipos"))).alias("s"))
+    return span.where(F.col("n_words").isNotNull() | (F.col("s.to") - F.col("s.from") >= F.least(F.lit(N), F.col("n")))).select(*found, "n_words", "s.from", "s.to")
 
 
 def _short(docs: DataFrame, row, items: DataFrame) -> DataFrame:
@@ -113,27 +126,29 @@ def _short(docs: DataFrame, row, items: DataFrame) -> DataFrame:
         mine = row(docs).select("doc_id", "row_key", "words", F.explode(_all_grams(F.col("words"), k)).alias("f"))
         side = F.broadcast(prints) if prints.count() <= FINGERPRINTS_TO_BROADCAST else prints
         hits = mine.join(side, F.col("f.key") == F.col("key")).where(F.slice("words", F.col("f.pos") + 1, F.size("item")) == F.col("item"))
-        spans = hits.select("doc_id", "row_key", "item_id", F.col("f.pos").alias("from"), (F.col("f.pos") + F.size("item")).alias("to"))
+        spans = hits.select("doc_id", "row_key", "item_id", F.lit(None).cast("long").alias("n_words"), F.col("f.pos").alias("from"), (F.col("f.pos") + F.size("item")).alias("to"))
         out = spans if out is None else out.unionByName(spans)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (5 % of its words hit or more)."""
-    spans = cut(contaminated_spans(docs, benchmark).distinct(), "bench-spans")
-    key = ["row_key"]
-    words = spans.select(*key, F.explode(F.sequence("from", F.col("to") - 1)).alias("w")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    names = spans.select(*key, "item_id").distinct().groupBy(*key).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
-    hit = cut(words.join(names, "row_key"), "bench-hit")
-    base = docs.select("doc_id", *keep, F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return base.join(hit, "row_key", "left").select(
-        "doc_id", "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
-        ((F.coalesce("n_hit", F.lit(0)) > 0) & (20 * F.coalesce("n_hit", F.lit(0)) >= F.col("n_words"))).alias("contaminated"), *keep)
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated (5 % of its words hit or more).
+
+    row_key is xxhash64(doc_id, text), by which the documents themselves may be joined.
+    """
+    spans = cut(contaminated_spans(docs, benchmark), "bench-spans")
+    hits, key = spans.where(F.col("from").isNotNull()).distinct(), "row_key"
+    words = hits.select(key, F.explode(F.sequence("from", F.col("to") - 1)).alias("w")).distinct().groupBy(key).agg(F.count("*").alias("n_hit"))
+    names = hits.select(key, "item_id").distinct().groupBy(key).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
+    hit = words.join(names, key)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return spans.where("from is null").join(hit, key, "left").select(
+        "doc_id", key, "n_words", zero("n_hit").alias("n_hit"), zero("n_items").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
+        ((zero("n_hit") > 0) & (20 * zero("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 OP5_SQL = r"""
