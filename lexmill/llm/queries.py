@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, mixing, simhash
+from lexmill.llm import decontamination, mixing, simhash, token_output
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_decontaminate": decontamination.op5_decontaminate,
+    "op6_token_output": token_output.op6_token_output,
 }
 
 ORACLES = {
