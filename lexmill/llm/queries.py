@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, mixing, simhash, token_output
+from lexmill.llm import decontamination, media, mixing, simhash, token_output
 
 QUERIES = {
+    "op1_media_columns": media.op1_media_columns,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_decontaminate": decontamination.op5_decontaminate,
