@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, media, mixing, simhash, token_output
+from lexmill.llm import decontamination, language_id, media, mixing, simhash, token_output
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_decontaminate": decontamination.op5_decontaminate,
     "op6_token_output": token_output.op6_token_output,
+    "op8_language_id": language_id.op8_language_id,
 }
 
 ORACLES = {
