@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, language_id, media, mixing, simhash, suffix_dedup, token_output
+from lexmill.llm import decontamination, html_extraction, language_id, media, mixing, simhash, suffix_dedup, token_output
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_decontaminate": decontamination.op5_decontaminate,
     "op6_token_output": token_output.op6_token_output,
