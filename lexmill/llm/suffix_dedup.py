@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, drop_table, table
 
-SPAN, GRAM, PIECE = 200, 32, 2 << 20
+SPAN, GRAM, PIECE = 200, 32, 512 << 10
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -130,41 +130,42 @@ def suffix_array(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(suffixes in order, rank) of the texts that end at ends, one after another in data.
 
     Suffixes end with their text; equal ones are in the order of their places, so that what
-    follows them is, too, as Kasai's bound needs. By Larsson-Sadakane: sorted on 8 bytes, then
+    follows them is, too, as Kasai's bound needs. By Larsson-Sadakane: sorted on 7 bytes, then
     groups of equals are refined by the rank of what follows, twice as far each time.
     """
     n = len(data)
     end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
     left = end - np.arange(n)
     depth = int(left.max(initial=0))
+    # seven bytes, and how many there are, so that a text that ends comes before one that goes on with zeros
     words = np.ndarray((n,), ">u8", data + bytes(8), strides=(1,)).astype(np.uint64)
-    short = left < 8
+    words &= ~np.uint64(255)
+    short = np.flatnonzero(left < 7)
     words[short] &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64)))
-    order = np.argsort(words, kind="stable")
+    words |= np.minimum(left, 7).astype(np.uint64)
+    order = np.argsort(words)
     ties = words[order]
-    # a text that ends within the 8 bytes comes before one that goes on with zeros
-    order = order[np.lexsort((np.minimum(left, 8)[order], ties))] if short.any() else order
-    ties, lefts = words[order], np.minimum(left, 8)[order]
-    new = np.concatenate([[True], (ties[1:] != ties[:-1]) | (lefts[1:] != lefts[:-1])])
+    new = np.concatenate([[True], ties[1:] != ties[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 8
-    while h < depth:
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, n))
-        if (size == 1).all():
-            break
+    h = 7
+    while True:
+        size = np.diff(np.append(np.flatnonzero(new), n))
         places = np.flatnonzero(np.repeat(size > 1, size))  # in groups not yet sorted
+        if h >= depth or not len(places):
+            break
         who = order[places]
-        ahead = np.where(left[who] > h, rank[np.minimum(who + h, n - 1)], -1)
-        group = rank[who]
-        by = np.lexsort((ahead, group))
-        who, ahead, group = who[by], ahead[by], group[by]
+        ahead = np.where(left[who] > h, rank[np.minimum(who + h, n - 1)] + 1, 0)
+        key = rank[who] * (n + 1) + ahead
+        by = np.argsort(key)
+        who, key = who[by], key[by]
         order[places] = who
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])])
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
         new[places] = fresh
         rank[who] = np.maximum.accumulate(np.where(fresh, places, 0))
         h *= 2
+    who = order[places]  # equal to their ends
+    order[places] = who[np.argsort(rank[who] * n + who)]
     rank[order] = np.arange(n)
     return order, rank
 
@@ -324,7 +325,7 @@ def _free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, longest: int = 16_384, shard_bytes: int = 2 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, longest: int = 16_384, shard_bytes: int = 1 << 20) -> DataFrame:
     """(tid, n, a, b) of docs (tid, n, text): the strings that begin at a..b of text tid occur elsewhere, too."""
     spark = docs.sparkSession
     rows = cut(docs.select("tid", F.col("text").cast("binary")).mapInArrow(_anchors(span), "h long, ctx long, tid long, n long, a long, b long"), "suffix-anchors")
@@ -377,20 +378,22 @@ def keep_rest(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, in
 def _remove(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = text.as_buffer().to_pybytes()
-                rest, r, k = keep_rest(data, [(s["a"], s["b"] + span) for s in spans.as_py() or ()])
-                n.append(len(data))
-                removed.append(r)
-                runs.append(k)
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                n, removed, runs, kept = [], [], [], []
+                for text, spans in zip(part.column(1), part.column(2), strict=True):
+                    data = text.as_buffer().to_pybytes()
+                    rest, r, k = keep_rest(data, [(s["a"], s["b"] + span) for s in spans.as_py() or ()])
+                    n.append(len(data))
+                    removed.append(r)
+                    runs.append(k)
+                    kept.append(rest)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, longest: int = 16_384, shard_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, longest: int = 16_384, shard_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("tid"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
