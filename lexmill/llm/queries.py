@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, html_extraction, language_id, media, mixing, simhash, suffix_dedup, token_output
+from lexmill.llm import decontamination, html_extraction, language_id, media, mixing, quality, simhash, suffix_dedup, token_output
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_output": token_output.op6_token_output,
     "op8_language_id": language_id.op8_language_id,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 ORACLES = {
