@@ -32,6 +32,8 @@ from lexmill.llm.common import table
 
 PLACES = 1 << 24
 GRADES = 3
+#: Documents are selected from this probability of not being toxic on.
+KEEP = 0.7
 #: Bytes.
 BEGINNINGS = (3, 4, 5, 6, 7)
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -67,9 +69,13 @@ class CumulativeLink:
 
     @staticmethod
     def fit(texts: list[str], grades: list[int], least: int = 5, steps: int = 300, rate: float = 0.08, sparse: float = 3e-4) -> CumulativeLink:
-        found = [np.unique(np.array([p for f in features(t) for p in places_of(f)], np.int64), return_counts=True) for t in texts]
-        places, count = np.unique(np.concatenate([np.empty(0, np.int64), *(f for f, _ in found)]), return_counts=True)
-        places = places[count >= least]
+        found = [np.unique(np.array([p for f in features(t) for p in places_of(f)], np.int32), return_counts=True) for t in texts]
+        found = [(f, k.astype(np.float32)) for f, k in found]
+        count = np.zeros(PLACES, np.int32)
+        for f, _ in found:
+            count[f] += 1
+        places = np.flatnonzero(count >= least).astype(np.int32)
+        del count
         y = np.array(grades, np.int64)
         levels = np.arange(GRADES - 1)
         start = np.array([-1.0, 1.0])
@@ -79,10 +85,11 @@ class CumulativeLink:
         for i, (f, k) in enumerate(found):
             at = np.minimum(np.searchsorted(places, f), len(places) - 1)
             here = places[at] == f
-            rows.append(np.full(here.sum(), i))
-            cols.append(at[here])
+            rows.append(np.full(here.sum(), i, np.int32))
+            cols.append(at[here].astype(np.int32))
             values.append(k[here])
-        rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values).astype(np.float64)
+        rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+        del found
         per_grade = np.bincount(y, minlength=GRADES)
         mass = 1.0 / (per_grade[y] * (per_grade > 0).sum())
         # parameters: weights, first threshold, logs of the steps between thresholds
@@ -131,7 +138,7 @@ class Scorer:
         return total
 
 
-def graded(docs: DataFrame, labels: DataFrame, rated: int = 4000, max_bytes: int = 20_000) -> list:
+def graded(docs: DataFrame, labels: DataFrame, rated: int = 3000, max_bytes: int = 20_000) -> list:
     """(doc_id, text, grade) rows, a bounded sample of the labelled documents."""
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).when(F.col("quality").isNotNull(), 1)
     marks = labels.select("doc_id", grade.alias("grade")).where("grade is not null and doc_id is not null")
@@ -170,4 +177,4 @@ def grade(docs: DataFrame, model: CumulativeLink) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = grade(docs, train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", "expected_grade", "p_not_toxic", "p_good", (F.col("p_not_toxic") >= 0.5).alias("keep"))
+    return found.select("doc_id", "expected_grade", "p_not_toxic", "p_good", (F.col("p_not_toxic") >= KEEP).alias("keep"))
