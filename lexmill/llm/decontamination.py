@@ -147,6 +147,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ((zero("n_hit") > 0) & (20 * zero("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated."""
+    bad = decontaminate(docs, benchmark).where("contaminated").select("row_key").distinct()
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(bad, "row_key", "left_anti").select(*[c for c in docs.columns])
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 

@@ -253,6 +253,23 @@ def identify(docs: DataFrame, model: BiGru) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(model), schema)
 
 
+def _known(model: BiGru, text: int, least: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                found = reader.predict(part.column(text).to_pylist())
+                yield part.filter(pa.array([x != "und" and s >= least for x, s in found], pa.bool_()))
+
+    return keep
+
+
+def of_known_language(docs: DataFrame, model: BiGru, least: float = 0.3) -> DataFrame:
+    """The documents that have a language: predicted, with a score of `least` or more."""
+    return docs.mapInArrow(_known(model, docs.columns.index("text"), least), docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

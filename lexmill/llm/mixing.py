@@ -59,14 +59,15 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: int = 2) -> DataFr
     return filled.withColumn("target", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(left.cast("double") * F.col("weight") / weight)).select("source", "source_size", "weight", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, and the columns named in keep.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1", rows: bool = False) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, and, if asked for, its whole row as a struct `row`.
 
-    docs needs doc_id, text and source; other columns are ignored unless kept. Sources in code
+    docs needs doc_id, text and source. Sources in code
     point order get the weights in turn. share must be a multiple of a half.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("_order"), *keep)
+    kept = ["row"] if rows else []
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("_order"), *[F.struct(*[docs[c] for c in docs.columns]).alias(c) for c in kept])
     slim = cut(sized.select("doc_id", "source", "size", "_order"), "mix-sizes")
     buckets = slim.groupBy("source", F.substring("_order", 1, 3).alias("bucket")).agg(F.sum("size").alias("size"))
     buckets = cut(buckets, "mix-buckets")
@@ -97,8 +98,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
         side = F.broadcast(border) if few else border
         return rows.alias("d").join(side.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.whole", "t.extra", "t.border", "t.before")
 
-    mixed = with_border(sized if keep else slim).withColumn("_bucket", F.substring("_order", 1, 3))
-    out = ["doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("_more")).cast("long").alias("taken"), *keep]
+    mixed = with_border(sized if rows else slim).withColumn("_bucket", F.substring("_order", 1, 3))
+    out = ["doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("_more")).cast("long").alias("taken"), *kept]
     whole_bucket = F.col("border").isNull() | (F.col("_bucket") < F.col("border"))
     away = mixed.where(~F.col("_bucket").eqNullSafe(F.col("border"))).withColumn("_more", F.when(whole_bucket & (F.col("extra") > 0), F.col("size")).otherwise(0))
     rank = W.partitionBy("source").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -107,6 +108,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     return away.select(*out).unionByName(inside.select(*out))
 
 
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: rows of docs as often as it takes them.
+
+    A fraction of a document is a row with as many of its words, joined by spaces; a column n_chars then follows the text.
+    """
+    times = F.floor(F.col("taken") / F.col("size")).cast("int")
+    words = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), 1, (F.col("taken") % F.col("size")).cast("int"))
+    part = F.col("row").withField("text", F.array_join(words, " "))
+    if "n_chars" in docs.columns:
+        part = part.withField("n_chars", F.length(F.array_join(words, " ")).cast(docs.schema["n_chars"].dataType))
+    copies = F.concat(F.array_repeat("row", times), F.when(F.col("taken") % F.col("size") > 0, F.array(part)).otherwise(F.array_repeat("row", 0)))
+    return mix_sources(docs, rows=True, **how).where("taken > 0").select(F.explode(copies).alias("row")).select("row.*")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 

@@ -170,6 +170,12 @@ def near_duplicates(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     return each.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Of each group of near-duplicates, the document with the least id; documents without an id can't be told apart and stay."""
+    others = near_duplicates(docs, longest).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
 def hex64(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
 
