@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import cut, new_path, table
 
 MAGIC, BLOCK, END = b"LEXPACK1", 4096, 1
-HEAD = struct.Struct("<8s4I2Q")
-REMEMBER = 400_000
+HEAD = "<8s4I2Q"
+REMEMBER = 800_000
 #: Neither letters nor digits nor white space.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -135,7 +135,7 @@ def encode_shard(doc_ids: list[int | None], ids: list[bytes], bits: int, block:
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     names = np.array([x or 0 for x in doc_ids], "<i8")
     known = np.array([x is not None for x in doc_ids], np.uint8)
-    head = HEAD.pack(MAGIC, bits, block, len(blocks), 0, len(every), len(doc_ids))
+    head = struct.pack(HEAD, MAGIC, bits, block, len(blocks), 0, len(every), len(doc_ids))
     return b"".join([head, offsets.tobytes(), names.tobytes(), known.tobytes(), ends.astype("<u8").tobytes(), *blocks])
 
 
@@ -143,10 +143,10 @@ class Shard:
     """Random access to the documents of a shard file held in data."""
 
     def __init__(self, data: bytes):
-        magic, self.bits, self.block, blocks, _, self.n_ids, n = HEAD.unpack_from(data)
+        magic, self.bits, self.block, blocks, _, self.n_ids, n = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = HEAD.size
+        at = struct.calcsize(HEAD)
         take = lambda kind, k: np.frombuffer(data, kind, k, at)
         self.offsets = take("<u8", blocks + 1).astype(np.int64)
         at += 8 * (blocks + 1)
