@@ -1,6 +1,385 @@
-"""Registered queries over the driver's tables, with DuckDB SQL for each."""
+"""Registered queries over the driver's tables, with DuckDB SQL for each.
+
+A document's language is its category and its source the book it belongs to. The books src0 and src1
+stand for the general ones, of which stop lists are made. Words reversed stand for translations.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as X
+from lexmill.operators import language, ledger, popularity, similarity, translation, vocabulary
+from lexmill.operators.callgraph import pruned
+from lexmill.operators.ranking import ranked
+from lexmill.plans import pipeline
+from lexmill.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+GENERAL = ("src0", "src1")
+
+
+def _query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.table_books(_documents(spark, sf_dir))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.word_counts(_books(spark, sf_dir))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host and path of every page's address."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1).alias("path"))
+
+
+# ---- pieces of SQL ----
+
+TOKENS = r"""tok AS (
+  SELECT doc_id, lang AS category, source AS book, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents),
+fit AS (SELECT * FROM tok WHERE NOT regexp_matches(word, '\p{Nd}') AND length(word) BETWEEN 3 AND 17),
+wc AS (SELECT category, book, word, count(*)::BIGINT AS cnt FROM fit GROUP BY ALL)"""
+
+#: DuckDB's levenshtein counts bytes: letters beyond ASCII are first mapped to capitals, which no word holds.
+ALIKE = "(abs(length({a}) - length({b})) <= 1 AND levenshtein(translate({a}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK'), translate({b}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')) <= least(2, 0.25::DOUBLE * greatest(length({a}), length({b}))))"
+
+
+def _pairs_sql(words: str, out: str) -> str:
+    alike = ALIKE.format(a="x.word", b="y.word")
+    return f"""{out} AS (
+  SELECT x.category, x.book, left(x.word, 4) AS prefix, x.word AS word_a, x.cnt AS cnt_a, y.word AS word_b, y.cnt AS cnt_b
+  FROM {words} x JOIN {words} y ON x.category = y.category AND x.book = y.book AND left(x.word, 4) = left(y.word, 4)
+   AND length(x.word) >= 5 AND length(y.word) >= 5 AND (x.cnt > y.cnt OR (x.cnt = y.cnt AND x.word < y.word)) AND {alike})"""
+
+
+def _groups_sql(words: str, p: str) -> str:
+    """CTEs p_pairs, p_head (category, book, word, head_word) and p_target (words with their target)."""
+    return f"""{_pairs_sql(words, f"{p}_pairs")},
+{p}_both AS (SELECT category, book, word_a AS a, word_b AS b FROM {p}_pairs UNION ALL SELECT category, book, word_b, word_a FROM {p}_pairs),
+{p}_reach AS (
+  SELECT DISTINCT category, book, a AS word, a AS other FROM {p}_both
+  UNION
+  SELECT r.category, r.book, r.word, e.b FROM {p}_reach r JOIN {p}_both e ON r.category = e.category AND r.book = e.book AND r.other = e.a),
+{p}_head AS (
+  SELECT r.category, r.book, r.word, arg_min(w.word, struct_pack(k := -w.cnt, w := w.word)) AS head_word
+  FROM {p}_reach r JOIN {words} w ON r.category = w.category AND r.book = w.book AND r.other = w.word GROUP BY ALL),
+{p}_target AS (
+  SELECT w.*, CASE WHEN h.head_word IS NOT NULL AND {ALIKE.format(a="w.word", b="h.head_word")} THEN h.head_word ELSE w.word END AS target
+  FROM {words} w LEFT JOIN {p}_head h ON w.category = h.category AND w.book = h.book AND w.word = h.word),
+{p}_kept AS (SELECT category, book, target AS word, sum(cnt)::BIGINT AS cnt FROM {p}_target GROUP BY ALL)"""
+
+
+UNION = "gu AS (SELECT category, word, sum(cnt)::BIGINT AS cnt FROM wc GROUP BY ALL)"
+POPULAR = """r0 AS (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY cnt DESC, word) AS rn,
+         (sum(cnt) OVER (PARTITION BY category ORDER BY cnt DESC, word ROWS UNBOUNDED PRECEDING))::BIGINT AS running,
+         count(*) OVER (PARTITION BY category) AS n, (sum(cnt) OVER (PARTITION BY category))::BIGINT AS total
+  FROM gu),
+r1 AS (SELECT *, greatest(1, floor(n * 0.05::DOUBLE)) AS mn, greatest(greatest(1, floor(n * 0.05::DOUBLE)), floor(n * 0.4::DOUBLE)) AS mx FROM r0),
+r2 AS (SELECT category, greatest(arg_min(cnt, rn), 5) AS cut FROM r1 WHERE (rn >= mn AND running >= total * 0.6::DOUBLE) OR rn >= mx GROUP BY category),
+r3 AS (SELECT r1.*, least(count(*) FILTER (cnt >= cut) OVER (PARTITION BY r1.category), mx) AS np FROM r1 JOIN r2 USING (category)),
+pop AS (SELECT category, word, cnt, rn FROM r3 WHERE rn <= CASE WHEN np >= mn THEN np ELSE mn END)"""
+CACHE = "cache AS (SELECT word, reverse(word) AS translation FROM (SELECT DISTINCT word FROM wc) WHERE length(word) % 2 = 0)"
+VALID = "(trim({t}) <> '' AND {t} <> '\"\"' AND {t} <> '—' AND lower({t}) <> lower({w}))"
+SCIENCE = "sc AS (SELECT * FROM wc WHERE book NOT IN ('src0', 'src1'))"
+
+
+def _with(*parts: str, then: str) -> str:
+    return f"WITH RECURSIVE {', '.join(parts)}\n{then}"
+
+
+# ---- text ----
+
+
+@_query(r"SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '\S'))) AS paragraph FROM documents")
+def paragraph_split(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.explode(X.paragraphs(F.col("text"))).alias("paragraph"))
+
+
+@_query(_with(TOKENS, then="SELECT doc_id, word FROM fit"))
+def tokenize_filter(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.explode(X.words_of(F.col("text"))).alias("word"))
+
+
+@_query("SELECT doc_id, translate(text, chr(173) || chr(8203) || chr(8209), '') AS clean FROM documents")
+def soft_char_strip(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", X.strip_soft(F.col("text")).alias("clean"))
+
+
+@_query(r"SELECT doc_id, regexp_replace(lower(text), '([а-яА-ЯёЁa-zA-Z])\s*\r?\n\s*([а-яА-ЯёЁa-zA-Z])', '\1 \2', 'g') AS mended FROM documents")
+def hyphen_repair(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", X.mend_breaks(F.lower("text")).alias("mended"))
+
+
+# ---- frequencies ----
+
+
+@_query(_with(TOKENS, then="SELECT * FROM wc"))
+def word_counts(spark, sf_dir):
+    return _words(spark, sf_dir)
+
+
+@_query(_with(TOKENS, then="SELECT *, row_number() OVER (PARTITION BY category, book ORDER BY cnt DESC, word) AS rn FROM wc"))
+def ranked_words(spark, sf_dir):
+    return ranked(_words(spark, sf_dir), ["category", "book"])
+
+
+@_query("SELECT lang AS category, source AS book, source IN ('src0', 'src1') AS is_general, count(*) AS docs FROM documents GROUP BY ALL")
+def category_pass_split(spark, sf_dir):
+    path = F.concat_ws("/", F.when(F.col("book").isin(*GENERAL), F.concat("category", F.lit("_non_science"))).otherwise(F.col("category")), "book")
+    return _books(spark, sf_dir).groupBy("category", "book", vocabulary.is_general(path).alias("is_general")).agg(F.count("*").alias("docs"))
+
+
+@_query(_with(TOKENS, SCIENCE, then="SELECT * FROM sc WHERE word NOT IN (SELECT word FROM wc WHERE book IN ('src0', 'src1'))"))
+def stopword_antijoin(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    lists = [words.where(F.col("book") == b).select("word").distinct() for b in GENERAL]
+    return vocabulary.without_stop_words(words.where(~F.col("book").isin(*GENERAL)), *lists)
+
+
+@_query(_with(TOKENS, UNION, then="SELECT * FROM gu"))
+def global_union(spark, sf_dir):
+    return vocabulary.union_of_books(_words(spark, sf_dir))
+
+
+INTERSECTION = """SELECT category, word, sum(cnt)::BIGINT AS cnt FROM {words} w GROUP BY category, word
+HAVING count(DISTINCT book) = (SELECT count(DISTINCT source) FROM documents d WHERE d.lang = w.category{general}) AND count(DISTINCT book) >= 2"""
+
+
+@_query(_with(TOKENS, then=INTERSECTION.format(words="wc", general="")))
+def word_intersection(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    return vocabulary.intersection_of_books(vocabulary.word_counts(books), books)
+
+
+# ---- similarity ----
+
+
+@_query(_with(TOKENS, _pairs_sql("wc", "p"), then="SELECT category, book, word_a, word_b FROM p"))
+def similar_pairs(spark, sf_dir):
+    return similarity.similar_pairs(_words(spark, sf_dir)).select("category", "book", "word_a", "word_b")
+
+
+@_query(_with(TOKENS, _groups_sql("wc", "c"), then="SELECT * FROM c_head"))
+def components(spark, sf_dir):
+    return similarity.components(similarity.similar_pairs(_words(spark, sf_dir)))
+
+
+@_query(_with(TOKENS, _groups_sql("wc", "c"), then="SELECT * FROM c_kept"))
+def clustered_words(spark, sf_dir):
+    return similarity.clustered(similarity.merge_targets(_words(spark, sf_dir)))
+
+
+@_query(_with(TOKENS, _groups_sql("wc", "c"), then="SELECT category, book, word AS deleted_word, cnt, target AS merged_to FROM c_target WHERE word <> target"))
+def deleted_words(spark, sf_dir):
+    return similarity.deleted(similarity.merge_targets(_words(spark, sf_dir)))
+
+
+GENERAL_WORDS = "gw AS (SELECT * FROM wc WHERE book IN ('src0', 'src1'))"
+SUBJECT = "sw AS (SELECT * FROM wc WHERE book NOT IN ('src0', 'src1') AND word NOT IN (SELECT word FROM g_kept))"
+FAITHFUL = (TOKENS, GENERAL_WORDS, _groups_sql("gw", "g"), SUBJECT, _groups_sql("sw", "s"))
+
+
+def _pipeline(spark, sf_dir) -> dict[str, DataFrame]:
+    return pipeline.run(_books(spark, sf_dir), [F.col("book") == b for b in GENERAL])
+
+
+@_query(_with(*FAITHFUL, then="SELECT category, word, sum(cnt)::BIGINT AS cnt FROM s_kept GROUP BY ALL"))
+def pipeline_union(spark, sf_dir):
+    return _pipeline(spark, sf_dir)["global_union"]
+
+
+@_query(_with(*FAITHFUL, then=INTERSECTION.format(words="s_kept", general=" AND source NOT IN ('src0', 'src1')")))
+def pipeline_intersection(spark, sf_dir):
+    return _pipeline(spark, sf_dir)["word_intersection"]
+
+
+@_query(_with(*FAITHFUL, then="SELECT category, book, word AS deleted_word, cnt, target AS merged_to FROM s_target WHERE word <> target"))
+def pipeline_deleted(spark, sf_dir):
+    return _pipeline(spark, sf_dir)["deleted_words"]
+
+
+# ---- popularity ----
+
+
+@_query(_with(TOKENS, UNION, POPULAR, then="SELECT category, word, cnt, rn, running, n, total FROM r0"))
+def running_coverage(spark, sf_dir):
+    return popularity.running_coverage(vocabulary.union_of_books(_words(spark, sf_dir)))
+
+
+def _popular(spark, sf_dir) -> DataFrame:
+    return popularity.popular_words(vocabulary.union_of_books(_words(spark, sf_dir)))
+
+
+@_query(_with(TOKENS, UNION, POPULAR, then="SELECT * FROM pop"))
+def popular_words(spark, sf_dir):
+    return _popular(spark, sf_dir)
+
+
+# ---- languages and translation ----
+
+
+@_query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[а-яА-Я]') THEN 'ru' ELSE 'en' END AS script FROM documents")
+def script_language(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", X.script_language(F.col("text")).alias("script"))
+
+
+@_query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL)
+SELECT d.source, coalesce((SELECT arg_min(lang, struct_pack(k := -n, l := lang)) FROM c WHERE c.source = d.source), 'und') AS language FROM (SELECT DISTINCT source FROM documents) d""")
+def language_vote(spark, sf_dir):
+    return language.vote(_documents(spark, sf_dir), ["source"], "lang")
+
+
+@_query(_with(TOKENS, UNION, POPULAR, """m AS (SELECT word, sum(cnt)::BIGINT AS cnt FROM pop GROUP BY word),
+d AS (SELECT *, CASE WHEN regexp_matches(word, '[а-яА-Я]') THEN 'ru' ELSE 'en' END AS src_lang FROM m)""", then="""SELECT word, cnt, src_lang, CASE WHEN src_lang = 'ru' THEN 'en' ELSE 'ru' END AS tgt_lang,
+  floor((row_number() OVER (PARTITION BY src_lang ORDER BY cnt DESC, word) - 1) / 800)::BIGINT AS batch FROM d"""))
+def translation_batches(spark, sf_dir):
+    return translation.batches(_popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt")))
+
+
+def _cache(spark, sf_dir) -> DataFrame:
+    words = _words(spark, sf_dir).select("word").distinct()
+    return words.where(F.length("word") % 2 == 0).select("word", F.reverse("word").alias("translation"))
+
+
+@_query(_with(TOKENS, UNION, POPULAR, CACHE, then=f"SELECT category, word, cnt, translation FROM pop JOIN cache USING (word) WHERE {VALID.format(t='translation', w='word')}"))
+def cache_lookup(spark, sf_dir):
+    return translation.cached(_popular(spark, sf_dir), _cache(spark, sf_dir)).select("category", "word", "cnt", "translation")
+
+
+@_query(_with(TOKENS, UNION, POPULAR, CACHE, then="SELECT category, word, cnt FROM pop WHERE word NOT IN (SELECT word FROM cache)"))
+def cache_misses(spark, sf_dir):
+    return translation.missing(_popular(spark, sf_dir).select("category", "word", "cnt"), _cache(spark, sf_dir))
+
+
+NEW = "nw AS (SELECT row_number() OVER (ORDER BY cnt DESC, word) AS seq, word, left(word, 3) AS translation FROM (SELECT word, sum(cnt)::BIGINT AS cnt FROM pop GROUP BY word))"
+
+
+@_query(_with(TOKENS, UNION, POPULAR, CACHE, NEW, f"""g AS (SELECT * FROM nw WHERE {VALID.format(t='translation', w='word')}),
+b AS (SELECT 2 * seq AS a, word, translation FROM g UNION ALL SELECT 2 * seq + 1, translation, word FROM g),
+f AS (SELECT word, arg_min(translation, a) AS translation FROM b GROUP BY word)""", then="SELECT word, translation FROM f WHERE word NOT IN (SELECT word FROM cache)"))
+def cache_bidirectional(spark, sf_dir):
+    words = ranked(_popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt")), [])
+    new = words.select(F.col("rn").alias("seq"), "word", F.substring("word", 1, 3).alias("translation"))
+    return translation.remembered(new, _cache(spark, sf_dir))
+
+
+@_query(_with(TOKENS, UNION, POPULAR, """o AS (SELECT category, word, 0::BIGINT AS cnt, word || 'x' AS translation FROM gu WHERE length(word) = 5),
+n AS (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT * FROM n UNION ALL SELECT * FROM o WHERE (category, word) NOT IN (SELECT category, word FROM n)"))
+def translations_upsert(spark, sf_dir):
+    union = vocabulary.union_of_books(_words(spark, sf_dir))
+    old = union.where(F.length("word") == 5).select("category", "word", F.lit(0).cast("long").alias("cnt"), F.concat("word", F.lit("x")).alias("translation"))
+    new = popularity.popular_words(union).select("category", "word", "cnt", F.reverse("word").alias("translation"))
+    return translation.upserted(old, new, ["category", "word"])
+
+
+@_query(_with(TOKENS, UNION, CACHE, then="SELECT category, word, cnt, translation FROM gu LEFT JOIN cache USING (word)"))
+def word_with_translation(spark, sf_dir):
+    union = vocabulary.union_of_books(_words(spark, sf_dir))
+    return translation.with_translation(union, _cache(spark, sf_dir)).select("category", "word", "cnt", "translation")
+
+
+# ---- ledger and tables ----
+
+PATHS = "SELECT DISTINCT lang || '/' || source || '.txt' AS book_path, lang AS category, source AS book FROM documents"
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    books = _documents(spark, sf_dir).select(F.col("lang").alias("category"), F.col("source").alias("book")).distinct()
+    return books.select(F.concat("category", F.lit("/"), "book", F.lit(".txt")).alias("book_path"), "category", "book")
+
+
+def _done(spark, sf_dir) -> DataFrame:
+    """A ledger of the books whose number ends in 5 or more."""
+    done = _paths(spark, sf_dir).where(F.col("book").rlike("[5-9]$")).select("book_path", F.lit(1).alias("word_count"))
+    return ledger.marked(ledger.empty_ledger(spark), done)
+
+
+@_query(f"SELECT * FROM ({PATHS}) WHERE NOT regexp_matches(book, '[5-9]$')")
+def ledger_pending(spark, sf_dir):
+    return ledger.pending(_paths(spark, sf_dir), _done(spark, sf_dir))
+
+
+@_query(_with(TOKENS, f"p AS ({PATHS})", "k AS (SELECT category, book, count(*) AS word_count FROM wc GROUP BY ALL)", then="""SELECT book_path, word_count FROM p JOIN k USING (category, book) WHERE regexp_matches(book, '[0-6]$')
+UNION ALL SELECT book_path, 1 FROM p WHERE regexp_matches(book, '[7-9]$')"""))
+def ledger_upsert(spark, sf_dir):
+    counts = _words(spark, sf_dir).where(F.col("book").rlike("[0-6]$")).groupBy("category", "book").agg(F.count("*").alias("word_count"))
+    done = counts.select(F.concat("category", F.lit("/"), "book", F.lit(".txt")).alias("book_path"), "word_count")
+    return ledger.marked(_done(spark, sf_dir), done).select("book_path", "word_count")
+
+
+@_query("SELECT DISTINCT source AS book, lang AS category, n_chars FROM documents")
+def insert_dedup(spark, sf_dir):
+    return _documents(spark, sf_dir).select(F.col("source").alias("book"), F.col("lang").alias("category"), "n_chars").dropDuplicates()
+
+
+@_query("SELECT DISTINCT lang AS category FROM documents WHERE lang <> ''")
+def categories(spark, sf_dir):
+    return _paths(spark, sf_dir).select(F.split_part(X.plain_name(F.col("book_path")), F.lit("/"), F.lit(1)).alias("category")).where("category <> ''").distinct()
+
+
+@_query("SELECT lang AS category, count(DISTINCT source) AS books, count(*) AS docs FROM documents GROUP BY lang")
+def table_catalog(spark, sf_dir):
+    return _books(spark, sf_dir).groupBy("category").agg(F.count_distinct("book").alias("books"), F.count("*").alias("docs"))
+
+
+# ---- names and folders ----
+
+ADDRESS = "a AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages)"
+
+
+@_query(_with(ADDRESS, "n AS (SELECT page_id, regexp_replace(string_split(path, '.')[1], '[^a-zA-Z0-9а-яА-ЯёЁ/]', '', 'g') AS name FROM a)", then="SELECT page_id, split_part(name, '/', 1) AS category, split_part(name, '/', 2) AS book FROM n"))
+def normalize_names(spark, sf_dir):
+    named = files.named(_pages(spark, sf_dir).select(F.col("path").alias("book_path"), F.col("page_id").cast("string").alias("text")))
+    return named.select(F.col("text").cast("long").alias("page_id"), "category", "book")
+
+
+def _clean_sql(name: str) -> str:
+    out = name
+    for old, new in ((".", "_"), (" ", "_"), (",", "_"), ("__", "_"), ("___", "_"), ("[", "_"), ("]", "_"), ("_pdf", ".pdf")):
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"CASE WHEN length({name}) - length(replace({name}, '.', '')) > 1 THEN {out} ELSE {name} END"
+
+
+@_query(_with(ADDRESS, then=f"SELECT page_id, host AS name, {_clean_sql('host')} AS clean_name FROM a"))
+def clean_filenames(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.col("host").alias("name"), X.clean_filename(F.col("host")).alias("clean_name"))
+
+
+def _tree(spark, sf_dir) -> DataFrame:
+    return _pages(spark, sf_dir).select(F.concat("host", F.lit("/"), "path").alias("path"))
+
+
+TREE = "t AS (SELECT string_split(host || '/' || path, '/') AS p FROM a)"
+
+
+@_query(_with(ADDRESS, TREE, "f AS (SELECT DISTINCT array_to_string(p[1:n], '/') AS folder, n FROM (SELECT p, unnest(range(1, len(p))) AS n FROM t))", then="SELECT folder, n::BIGINT AS depth FROM f"))
+def folder_listing(spark, sf_dir):
+    return files.folders(_tree(spark, sf_dir))
+
+
+@_query(_with(ADDRESS, TREE, then="SELECT DISTINCT p[2] AS category, p[3] AS file, p[2] || '/' || p[3] AS book_path FROM t WHERE len(p) = 3"))
+def depth2_files(spark, sf_dir):
+    return files.depth_two_files(_tree(spark, sf_dir))
+
+
+@_query("SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM (SELECT DISTINCT lang AS src, source AS dst FROM documents)) WHERE k <= 8")
+def callgraph_prune(spark, sf_dir):
+    return pruned(_documents(spark, sf_dir).select(F.col("lang").alias("src"), F.col("source").alias("dst")).distinct())
