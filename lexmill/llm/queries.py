@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, html_extraction, language_id, media, mixing, quality, simhash, suffix_dedup, token_output
+from lexmill.llm import decontamination, html_extraction, language_id, line_dedup, media, mixing, quality, simhash, suffix_dedup, token_output
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_decontaminate": decontamination.op5_decontaminate,
     "op6_token_output": token_output.op6_token_output,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
