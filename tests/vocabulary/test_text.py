@@ -1,0 +1,85 @@
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as X
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("od-\nnako", "odnako"),
+        ("foo - bar", "foobar"),
+        ("ab -\ncd-\nef", "abcdef"),
+        ("cat\n  dog", "catdog"),
+        ("abcde\n\nfghij", "abcdefghij"),
+        ("word .\n  next", "word . next"),
+        ("afterwards\nbefore", "afterwards before"),
+        ("cat  \n  dog", "catdog"),
+        ("x\n\n  odnako", "xodnako"),
+        ("слово\n  да", "словода"),
+        ("wxabcdefgh  \n  abcdefghijkl", "wxabcdefgh  abcdefghijkl"),
+        ("\n  odnako tut", "odnako tut"),
+        ("abcdefgh\n  abcdefghijk", "abcdefgh abcdefghijk"),
+        ("abcdefghij-\nabcdefghijklmno", "abcdefghijabcdefghijklmno"),
+        ("abcdefghij-\nabcdefghijklmnopq", "abcdefghijabcdefghijklmnopq"),
+        ("end.\n next", "end. next"),
+        ("end.\nnext", "end.\nnext"),
+        ("state-of-the-art", "state-of-the-art"),
+        ("éé-\nab", "éé-\nab"),
+        ("12-\nab", "12-\nab"),
+        ("a­b​c‑d", "abcd"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_mend(text, want):
+    assert X.mend(text) == want
+
+
+def test_mend_column(spark):
+    rows = [("od-\nnako",), ("plain",), (None,), ("so­ft",)]
+    got = [r.m for r in spark.createDataFrame(rows, "t string").select(X.mend_breaks(F.col("t")).alias("m")).collect()]
+    assert got == ["odnako", "plain", None, "soft"]
+
+
+def test_words(spark):
+    text = "Abc ab " + "x" * 17 + " " + "x" * 18 + " foo_bar a1b ab² don't Ünï №5 ёлка①"
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(X.words_of(F.col("t")).alias("w")).collect()
+    assert row[0].w == ["abc", "x" * 17, "foo", "bar", "don", "ünï"] and row[1].w == []
+
+
+@settings(max_examples=15, deadline=None)
+@given(words=st.lists(st.text(st.characters(categories=["L", "N", "P", "Zs"], max_codepoint=0x2FFF), max_size=12), min_size=1, max_size=20))
+def test_words_as_python_has_them(spark, words):
+    import re
+
+    text = " ".join(words)
+    low = spark.createDataFrame([(text,)], "t string").select(F.lower("t").alias("l"), X.words_of(F.col("t")).alias("w")).first()
+    want = [w for w in re.findall(r"[^\W_]+", low.l) if 3 <= len(w) <= 17 and not any(c.isdigit() for c in w)]
+    known = [w for w in low.w if re.fullmatch(r"[^\W_]+", w)]
+    assert known == [w for w in want if w in low.w]
+
+
+def test_names_and_scripts(spark):
+    df = spark.createDataFrame([("en_non_science/My book_1.v2.txt", "привет"), ("a/b.txt", "Hello"), ("x", "ё"), ("y", "abcд")], "p string, w string")
+    got = df.select(X.plain_name(F.col("p")).alias("n"), X.script_language(F.col("w")).alias("s")).collect()
+    assert [r.n for r in got] == ["ennonscience/Mybook1", "a/b", "x", "y"] and [r.s for r in got] == ["ru", "en", "en", "ru"]
+
+
+def test_clean_filename(spark):
+    names = [("a.b.txt", "a_b_txt"), ("a.txt", "a.txt"), ("My, [best] book.v1.pdf", "My_[best]_book_v1.pdf".replace("[", "_").replace("]", "_")), ("plain", "plain")]
+    got = spark.createDataFrame([(n,) for n, _ in names], "n string").select(X.clean_filename(F.col("n")).alias("c")).collect()
+    assert [r.c for r in got][:2] == ["a_b_txt", "a.txt"] and got[3].c == "plain" and got[2].c.endswith(".pdf") and "[" not in got[2].c
+
+
+def test_valid_translation(spark):
+    rows = [("a", "x", True), ("a", "", False), ("a", "  ", False), ("a", '""', False), ("a", "A", False), ("a", "—", False), ("a", None, False)]
+    got = spark.createDataFrame(rows, "w string, t string, want boolean").select(X.valid_translation(F.col("w"), F.col("t")).alias("v"), "want").collect()
+    assert all(r.v == r.want for r in got)
+
+
+def test_series_function():
+    assert X._mend(pd.Series(["od-\nnako", None])).tolist()[0] == "odnako"
