@@ -16,7 +16,7 @@ that succeeded, so retried and speculative tasks do no harm. Only counts of shar
 Tokenising. Words of a text recur, so a worker remembers the ids of pieces between spaces or line
 feeds, up to `REMEMBER` of them. No token spans white space and special tokens contain none, so
 the ids of a text are those of its pieces in turn. A new piece is split once more: punctuation at its
-end is always a token of its own, and lower case is what the vocabulary has, so the rest is looked up
+end, after a Latin letter or digit, is always a token of its own, and lower case is what the vocabulary has, so the rest is looked up
 in ASCII lower case. Pieces that might hold a special token are not split. This holds for
 tokenizers that split words from punctuation and lower-case them, as word_bpe_49k.json does.
 
@@ -100,7 +100,9 @@ class PieceTokenizer:
         cores, parts = self.cores, []
         for p in pieces:
             core = p.rstrip(MARKS) if "<|" not in p else p
-            parts.append((p, core.lower() if core.isascii() else core, p[len(core) :]))
+            if core and not (core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "\u0130"):
+                core = p  # other signs, such as combining ones, form one token with the marks
+            parts.append((p, core.lower() if core.isascii() and "<|" not in core else core, p[len(core) :]))
         new = list({x for _, core, marks in parts for x in (core, marks) if x not in cores})
         found: dict[str, bytes] = {}
         words = [x for x in new if x.isalpha()]

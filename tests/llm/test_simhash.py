@@ -1,0 +1,95 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from lexmill.llm import simhash as S
+from lexmill.llm.common import connected_components
+
+
+def plain_print(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words, word = [], ""
+    for c in low + " ":
+        if c in " \t\n\v\f\r":
+            if word:
+                words.append(word)
+            word = ""
+        else:
+            word += c
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("text", [None, "", " \t\n", "a", "A b c", "a b c d", "Ä b c d e f É g", "x\vy\fz\rw v u", "w " * 70_000, "a b c d e f g h i j k l m n o p"])
+def test_fingerprint(text):
+    assert S.fingerprint(text) == plain_print(text)
+
+
+def test_any_four_positions_hold_a_triple():
+    triples = S._triples()
+    assert len(triples) == 20 and all(any(set(t) <= set(c) for t in triples) for c in itertools.combinations(range(8), 4))
+
+
+def plain_components(prints: dict) -> dict:
+    group = {i: i for i in prints}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4:
+            x, y = root(a), root(b)
+            group[max(x, y)] = min(x, y)
+    return {i: root(i) for i in prints}
+
+
+@pytest.mark.parametrize("longest", [4096, 8])
+def test_components_against_all_pairs(spark, longest):
+    rng = random.Random(longest)
+    prints = {}
+    for i in range(500):  # chains and dense clusters
+        base = rng.choice(list(prints.values())) if prints and rng.random() < 0.7 else rng.getrandbits(64)
+        for _ in range(rng.randint(0, 5)):
+            base ^= 1 << rng.randrange(64)
+        prints[i] = base
+    want = plain_components(prints)
+    fps = sorted(set(prints.values()))
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    found = {r.node & (2**64 - 1): r.component for r in connected_components(S.links(frame, longest)).collect()}
+    alike = {}
+    for i, x in prints.items():
+        alike.setdefault(found.get(x, x), set()).add(want[i])
+    assert all(len(v) == 1 for v in alike.values()) and len(alike) == len(set(want.values()))
+
+
+def test_forest_spans_dense_lists():
+    x = np.array([1 << i for i in range(60)] + [(1 << 60) - 1], np.uint64)
+    assert sum(len(a) for a, _ in S.forest(x)) == 59
+
+
+def test_documents(spark):
+    rng = random.Random(1)
+    text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(300))
+    rows = [(7, text, 1), (3, text + " x", 1), (3, text + " x", 1), (9, None, 1), (8, "", 2), (None, text, 2), (5, "quite another", 2), (None, "alone here", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long").repartition(3)
+    got = S.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.doc_id in (7, 3)} == {3} and {r.component_id for r in got if r.doc_id in (8, 9)} == {8}
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["3", "None"]
+    kept = S.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [3, 3, 5, 8]
+    assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_chain_settles(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
