@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import language, ledger, popularity, similarity, translation, vocabulary
+from lexmill.operators import language, ledger, lemmas, popularity, similarity, translation, vocabulary
 from lexmill.operators.callgraph import pruned
 from lexmill.operators.ranking import ranked
 from lexmill.plans import pipeline
@@ -169,6 +169,25 @@ def word_intersection(spark, sf_dir):
     return vocabulary.intersection_of_books(vocabulary.word_counts(books), books)
 
 
+@_query(_with(TOKENS, "le AS (SELECT category, book, CASE WHEN word LIKE '%s' AND length(word) > 4 THEN left(word, length(word) - 1) ELSE word END AS word, cnt FROM wc)", then="SELECT category, book, word, sum(cnt)::BIGINT AS cnt FROM le GROUP BY ALL"))
+def lemma_dictionary(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    plural = words.where(F.col("word").endswith("s") & (F.length("word") > 4)).select("word").distinct()
+    return lemmas.by_dictionary(words, plural.select("word", F.expr("left(word, length(word) - 1)").alias("lemma")))
+
+
+@_query(_with(TOKENS, then=r"SELECT category, book, count(*)::BIGINT AS occurrences, count(*) FILTER (regexp_full_match(word, '\p{L}+'))::BIGINT AS letters_only FROM tok GROUP BY ALL"))
+def letters_only_tokens(spark, sf_dir):
+    tokens = _books(spark, sf_dir).select("category", "book", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0))).alias("word"))
+    return tokens.groupBy("category", "book").agg(F.count("*").alias("occurrences"), F.count_if(F.col("word").rlike(r"^\p{L}+$")).alias("letters_only"))
+
+
+@_query(_with(TOKENS, UNION, then="SELECT category, count(*)::BIGINT AS total_unique, sum(cnt)::BIGINT AS total_occurrences FROM gu GROUP BY category"))
+def vocabulary_totals(spark, sf_dir):
+    union = vocabulary.union_of_books(_words(spark, sf_dir))
+    return union.groupBy("category").agg(F.count("*").alias("total_unique"), F.sum("cnt").alias("total_occurrences"))
+
+
 # ---- similarity ----
 
 
@@ -296,6 +315,20 @@ def word_with_translation(spark, sf_dir):
     return translation.with_translation(union, _cache(spark, sf_dir)).select("category", "word", "cnt", "translation")
 
 
+@_query(_with(TOKENS, UNION, CACHE, then="SELECT category, word, cnt, translation FROM gu LEFT JOIN cache USING (word) WHERE word = 'with'"))
+def word_lookup(spark, sf_dir):
+    union = vocabulary.union_of_books(_words(spark, sf_dir))
+    return translation.with_translation(union, _cache(spark, sf_dir), "with").select("category", "word", "cnt", "translation")
+
+
+@_query(_with(TOKENS, UNION, POPULAR, CACHE, f"""c AS (SELECT category, word, translation FROM pop JOIN cache USING (word) WHERE {VALID.format(t='translation', w='word')}),
+n AS (SELECT category, word, left(word, 3) AS translation FROM pop WHERE word NOT IN (SELECT word FROM cache))""", then="SELECT * FROM c UNION ALL SELECT * FROM n"))
+def merged_translations(spark, sf_dir):
+    popular, cache = _popular(spark, sf_dir), _cache(spark, sf_dir)
+    new = translation.missing(popular, cache).select("category", "word", F.substring("word", 1, 3).alias("translation"))
+    return translation.cached(popular, cache).select("category", "word", "translation").unionByName(new)
+
+
 # ---- ledger and tables ----
 
 PATHS = "SELECT DISTINCT lang || '/' || source || '.txt' AS book_path, lang AS category, source AS book FROM documents"

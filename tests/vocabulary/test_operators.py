@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import callgraph, language, ledger, popularity, translation, vocabulary
+from lexmill.operators import callgraph, language, ledger, lemmas, popularity, translation, vocabulary
 from lexmill.operators.ranking import ranked
 from lexmill.plans import pipeline
 from lexmill.schemas import Settings
@@ -146,3 +146,11 @@ def test_callgraph(spark):
     assert {tuple(r) for r in edges.collect()} == {("a.f", "b.g", True), ("a.inner", "b.h", True), ("b.h", "b.g", False)}
     many = spark.createDataFrame([("s", f"d{i:02}") for i in range(12)], "src string, dst string")
     assert {r.dst for r in callgraph.pruned(many).collect()} == {f"d{i:02}" for i in range(8)}
+
+
+def test_lemmas(spark):
+    words = spark.createDataFrame([("c", "b", "cats", 2), ("c", "b", "cat", 1), (None, "b", "dog", 4)], "category string, book string, word string, cnt long")
+    got = lemmas.by_function(words, lambda lang: lambda w: w.rstrip("s"), "en")
+    assert {tuple(r) for r in got.collect()} == {("c", "b", "cat", 3), (None, "b", "dog", 4)}
+    with pytest.raises(ValueError):
+        lemmas.by_function(words, lambda lang: str, "de")
