@@ -149,8 +149,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select("row_key").distinct()
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(bad, "row_key", "left_anti").select(*[c for c in docs.columns])
+    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("row_key").alias("_bad_row")).distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["_bad_row"], "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

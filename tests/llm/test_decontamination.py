@@ -56,3 +56,10 @@ def test_empty(spark):
     assert D.decontaminate(docs.limit(0), items).count() == 0
     assert [r.n_hit for r in D.decontaminate(docs, items.limit(0)).collect()] == [0]
     assert D.clean_of(docs, items).count() == 1
+
+
+def test_clean_documents_keep_their_columns(spark):
+    item = " ".join("abcdefghijklmnop")
+    docs = spark.createDataFrame([(1, "all is well here", 5, "r"), (2, item, 6, "s"), (3, None, 7, None)], "doc_id long, text string, row_key long, item string")
+    got = D.clean_of(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [(1, "all is well here", 5, "r"), (3, None, 7, None)]
