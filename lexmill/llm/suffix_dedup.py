@@ -330,7 +330,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, longest: int = 16_384, sha
     spark = docs.sparkSession
     rows = cut(docs.select("tid", F.col("text").cast("binary")).mapInArrow(_anchors(span), "h long, ctx long, tid long, n long, a long, b long"), "suffix-anchors")
     often = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("c > 1")
-    mine = cut(rows.join(often.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "h"), "suffix-often")
+    # a table of its own, so that the join's two sides are plain shuffles and AQE may split a hot anchor
+    often = cut(often.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "suffix-counts")
+    mine = cut(rows.join(often, "h"), "suffix-often")
     drop_table(rows)
     _free(spark)
     alike = mine.where(~F.col("differ")).select("tid", "n", "a", "b")
