@@ -22,10 +22,11 @@ def run(books: DataFrame, general: list[Column], settings: Settings = DEFAULT, m
     is_general = general[0]
     for g in general[1:]:
         is_general = is_general | g
-    first = similarity.clustered(vocabulary_of(books.where(is_general), settings=settings, mend=mend))
+    # both are read several times; unpersist them, or clear the cache, when done
+    first = similarity.clustered(vocabulary_of(books.where(is_general), settings=settings, mend=mend)).persist()
     stop = [first.where(g).select("word").distinct() for g in general]
     subject = books.where(~is_general)
-    targets = vocabulary_of(subject, *stop, settings=settings, mend=mend)
+    targets = vocabulary_of(subject, *stop, settings=settings, mend=mend).persist()
     book_words = similarity.clustered(targets)
     union = vocabulary.union_of_books(book_words)
     return {
