@@ -77,11 +77,17 @@ class PieceTokenizer:
 
     def ids(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = self._learn({p for p in pieces if p not in self.known})
-        return b"".join([new[p] if p in new else self.known[p] for p in pieces])
+        known = self.known
+        new = set(pieces).difference(known)
+        if not new:
+            return b"".join(map(known.__getitem__, pieces))
+        found = self._learn(new)
+        known.update(found)
+        out = b"".join(map(known.__getitem__, pieces))
+        if len(known) > REMEMBER:  # what comes first, mostly the frequent, is remembered
+            for p in found:
+                del known[p]
+        return out
 
     def _alone(self, piece: str) -> bytes:
         return array("I", self.inner.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
@@ -96,22 +102,24 @@ class PieceTokenizer:
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that aren't known; what comes first, mostly the frequent, is remembered."""
+        """Ids of pieces that aren't known."""
         cores, parts = self.cores, []
         for p in pieces:
-            core = p.rstrip(MARKS) if "<|" not in p else p
-            if core and not (core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "\u0130"):
+            if "<|" in p:
+                parts.append((p, p, ""))
+                continue
+            core = p.rstrip(MARKS)
+            if core and len(core) < len(p) and not (core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "\u0130"):
                 core = p  # other signs, such as combining ones, form one token with the marks
-            parts.append((p, core.lower() if core.isascii() and "<|" not in core else core, p[len(core) :]))
+            parts.append((p, core.lower() if core.isascii() else core, p[len(core) :]))
         new = list({x for _, core, marks in parts for x in (core, marks) if x not in cores})
         found: dict[str, bytes] = {}
         words = [x for x in new if x.isalpha()]
         found.update(zip(words, self._words(words), strict=True))
         found.update((x, self._alone(x)) for x in new if x not in found)
         ids = {p: (found.get(core) if core in found else cores[core]) + (found.get(marks) if marks in found else cores[marks]) for p, core, marks in parts}
-        for known, more in ((self.known, ids), (cores, found)):
-            if len(known) < REMEMBER:
-                known.update(more)
+        if len(cores) < REMEMBER:
+            cores.update(found)
         return ids
 
 
