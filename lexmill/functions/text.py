@@ -31,8 +31,10 @@ def strip_soft(text: Column) -> Column:
 def words_of(text: Column, settings: Settings = DEFAULT) -> Column:
     """Array of the words of a text, in lower case, without those that hold digits or are too short or long."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    fits = lambda w: F.length(w).between(settings.shortest, settings.longest) & ~w.rlike(DIGIT)
-    return F.coalesce(F.filter(found, fits), F.array().cast("array<string>"))
+    fits = lambda w: F.length(w).between(settings.shortest, settings.longest)
+    # words are looked at for digits only in texts that have some
+    kept = F.when(text.rlike(DIGIT), F.filter(found, lambda w: fits(w) & ~w.rlike(DIGIT))).otherwise(F.filter(found, fits))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def paragraphs(text: Column) -> Column:
