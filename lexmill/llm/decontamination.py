@@ -104,10 +104,12 @@ def _met(docs: DataFrame, row, prints: DataFrame) -> DataFrame:
         mine = row(docs).select("doc_id", "row_key", "words", F.explode(F.concat(winnow(F.col("words")), F.array(count))).alias("f"))
         hits = mine.join(F.broadcast(prints.unionByName(counter)), (F.col("f.key") == F.col("key")) & ((F.col("f.pos") < 0) == (F.col("ipos") < 0)))
     else:
+        # item_id may be null or repeated, so that an item's words are found by a key of both
+        prints = prints.withColumn("item_key", F.xxhash64("item_id", "item"))
         mine = row(docs).select("doc_id", "row_key", F.explode(winnow(F.col("words"))).alias("f"))
-        at = cut(mine.join(prints.drop("item"), F.col("f.key") == F.col("key")).select(*found, "f", "ipos"), "bench-hits")
+        at = cut(mine.join(prints.drop("item"), F.col("f.key") == F.col("key")).select(*found, "item_key", "f", "ipos"), "bench-hits")
         texts = row(docs).join(at.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "words")
-        hits = at.join(texts, "row_key").join(prints.select("item_id", "item").distinct(), "item_id")
+        hits = at.join(texts, "row_key").join(prints.select("item_key", "item").distinct(), "item_key")
         counts = row(docs).select("doc_id", "row_key", F.lit(None).cast(prints.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("array<string>").alias("item"), F.lit(-1).alias("ipos"), count.alias("f"), F.array().cast("array<string>").alias("words"))
         hits = hits.select(*found, "item", "ipos", "f", "words").unionByName(counts)
     span = hits.select(*found, F.size("item").alias("n"), F.when(F.col("f.pos") < 0, (-1 - F.col("f.pos")).cast("long")).alias("n_words"), F.when(F.col("f.pos") >= 0, _extend(F.col("words"), F.col("f.pos"), F.col("item"), F.col("ipos"))).alias("s"))
