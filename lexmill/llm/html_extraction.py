@@ -7,14 +7,13 @@ to the sink (boilerplate). Blocks that follow each other, and blocks that are ne
 tied by smoothness edges, the weaker the farther apart. The minimum cut between source and sink
 labels all blocks of a page at once: a short line between paragraphs goes with them, a sentence among links does not.
 
-Blocks inside elements that can't hold article text (nav, aside, form, footer, adverts, comments and
-the like) have a capacity that no cut of smoothness edges outweighs; scripts, styles and comments of markup are not blocks.
+Blocks inside elements that can't hold article text (nav, aside, form, footer and the like) or that are hidden have a capacity that no cut of smoothness edges outweighs; class names and ids (adverts, comments, sidebars) only lower the log-odds, much if that is all they say; scripts, styles and comments of markup are not blocks.
 
 The cut is exact. Blocks whose terminal outweighs all their edges are labelled first and folded into
 their neighbours, which settles most pages; augmenting paths settle the rest.
 
 Defined results. Null or empty html has an empty text. Damaged markup is read as far as it goes:
-unclosed elements end with their parent, stray end tags are ignored, an unclosed tag ends the page. Text is
+unclosed elements end with their parent, an unclosed head with the first tag or text that can't be in it, stray end tags are ignored, an unclosed tag ends the page. Text is
 whole: character references are decoded, white space within a block becomes one space, blocks are joined by
 one line feed. Rows are independent; repeated rows repeat; empty tables give no rows. Other columns are not read.
 """
@@ -48,7 +47,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 ENDS_P = BLOCK - {"br", "button", "label", "option", "body", "html", "head", "td", "th", "tr", "caption"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_IN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-#: Elements, roles and words of class names or ids that never hold article text.
+#: What a head may hold; all else ends it.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Elements and roles that never hold article text, and words of class names or ids that speak against it.
 NOT_TEXT = {"nav", "aside", "form", "button", "select", "menu", "dialog", "search", "head", "fieldset", "datalist", "label", "footer"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar", "form", "alert", "tablist"}
 WORDS = set(
@@ -57,30 +58,37 @@ WORDS = set(
     "paywall popup promo promoted promotion recommend recommended recommendations related replies reply respond search share sharing sidebar signup sitemap skip social sponsor sponsored "
     "subscribe subscription taboola tagcloud toolbar trending widget".split()
 )
+#: A name with one of these tells of the layout around a part (has-sidebar, comments-open), not of the part.
+LAYOUT = {"has", "no", "with", "without", "open", "closed", "enabled", "disabled"}
 GOOD = {"article", "content", "entry", "main", "post", "story", "articlebody", "body", "text"}
 
 #: The classifier: log-odds of content. Ties between neighbours of distance d in the tree weigh TIE / (1 + d).
 BIAS, IN_ARTICLE, PARAGRAPH, HEADING, LENGTH, STOPS, LINKS, GOOD_NAME, OUTSIDE, NEVER = -2.0, 4.0, 1.2, 0.4, 0.5, 0.8, 4.0, 1.0, 3.0, 1e6
+#: Against names of words in WORDS alone, and names that have other words as well.
+BAD_NAME, PART_NAME = 9.0, 2.0
 FOLLOW, TIE = 2.4, 3.6
 
 
 class _Element:
-    __slots__ = ("good", "article", "links", "name", "never", "number", "parent", "depth")
+    __slots__ = ("good", "article", "links", "name", "named", "never", "number", "parent", "depth")
 
     def __init__(self, name: str, attributes: str, parent: _Element | None, number: int):
         self.name, self.parent, self.number = name, parent, number
         self.depth = parent.depth + 1 if parent else 0
         self.article = bool(parent and parent.article) or name in ("article", "main")
         self.good = bool(parent and parent.good)
+        self.named = parent.named if parent else 0.0
         self.never = bool(parent and parent.never) or name in NOT_TEXT or (name == "header" and not self.article)
         self.links = bool(parent and parent.links) or name == "a"
         if attributes and not self.never and name not in ("html", "body"):
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values)
                 if key in ("class", "id"):
-                    words = {w.lower() for w in _NAME.findall(value)}
-                    self.never |= bool(words & WORDS)
-                    self.good |= bool(words & GOOD)
+                    for one in value.split():
+                        words = {w.lower() for w in _NAME.findall(one)}
+                        if words & WORDS and not words & LAYOUT:
+                            self.named = max(self.named, BAD_NAME if words <= WORDS else PART_NAME)
+                        self.good |= bool(words & GOOD)
                 elif key == "role":
                     self.never |= value.lower() in ROLES
                     self.article |= value.lower() in ("main", "article")
@@ -107,8 +115,19 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
             parts.clear()
             linked = 0
 
+    def end_head() -> None:
+        nonlocal here
+        e = here
+        while e is not top and e.name != "head":
+            e = e.parent
+        if e is not top:
+            end_block()
+            here = e.parent
+
     def add(text: str) -> None:
         nonlocal linked, place, in_block
+        if here.name == "head" and not text.isspace():
+            end_head()
         if "&" in text:
             text = unescape(text)
         if not parts:
@@ -148,7 +167,11 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
                     continue  # an inline end tag does not close the blocks in it
                 here = e.parent
             continue
+        if name not in IN_HEAD:
+            end_head()
         if name in RAW:
+            if name in ("svg", "math") and m[0].endswith("/>"):
+                continue
             close = html.find("</", at)
             low = name
             while close >= 0 and html[close + 2 : close + 2 + len(low)].lower() != low:
@@ -189,7 +212,7 @@ def log_odds(text: str, element: _Element, links: float, kind: str, page_has_art
     if element.never:
         return -NEVER
     words = text.count(" ") + 1
-    score = BIAS + LENGTH * math.log(words) - LINKS * links
+    score = BIAS + LENGTH * math.log(words) - LINKS * links - element.named
     if element.article:
         score += IN_ARTICLE
     elif page_has_article:
@@ -306,7 +329,7 @@ def main_text(html: str | None) -> str:
     found = blocks(html) if html else []
     if not found:
         return ""
-    article = any(e.article and not e.never for _, e, _, _ in found)
+    article = any(e.article and not e.never and e.named < BAD_NAME for _, e, _, _ in found)
     score = [log_odds(*b, article) for b in found]
     keep = min_cut(score, smoothness(found))
     return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
