@@ -21,6 +21,13 @@ NAME_DROPS = "[^a-zA-Z0-9а-яА-ЯёЁ/]"
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒፩-፱᧚]"
 WORD = r"[\p{L}\p{N}]+"
 BROKEN = "—"
+#: Line-break repair. Letters of a word's head before a hyphen, and before white space; lengths up to which parts are joined:
+#: both together, both together across white space, each of them, a head with any tail not shorter; a long head and its tail.
+HEAD, SPACED_HEAD = 10, 8
+JOIN_UP_TO, JOIN_SPACED, BOTH_SHORT, SHORT_HEAD = 25, 15, 5, 3
+LONG_HEAD, SHORT_TAIL = "6,15", "2,6"
+#: White space, as Python's \\s has it.
+SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # ----
 
 
@@ -71,27 +78,31 @@ def clean_filename(name: Column) -> Column:
 
 # ---- line-break repair ----
 
-_BREAK = r"\s*\r?\n\s*"
+#: A run of white space that holds a line feed, looked at once: whether it does is seen ahead, then the run is passed without going back.
+_BREAK = r"(?=[^\S\n]*+\n)\s*+"
+#: The same with white space behind that line feed.
+_WIDE = r"(?=[^\S\n]*+\n\s)\s++"
 
 
 def _short_enough(m: re.Match) -> str:
-    return m[1] + m[2] if len(m[1]) + len(m[2]) <= 25 else m[0]
+    return m[1] + m[2] if len(m[1]) + len(m[2]) <= JOIN_UP_TO else m[0]
 
 
 def _belongs(m: re.Match) -> str:
     a, b = len(m[1]), len(m[2])
-    return m[1] + m[2] if max(a, b) <= 5 or (a <= 3 <= b) or a + b <= 15 else m[0]
+    return m[1] + m[2] if max(a, b) <= BOTH_SHORT or (a <= SHORT_HEAD <= b) or a + b <= JOIN_SPACED else m[0]
 
 
-#: In this order, each over what the one before it made.
+#: In this order, each over what the one before it made. A run of white space ends at something else on both sides, so
+#: each pattern asks about whole runs: none tries its parts one after another, and all take time in proportion to the text.
 _STEPS = [
-    (re.compile(rf"({LETTER}{{1,10}})\s*-{_BREAK}({LETTER}{{2,}})"), _short_enough),
-    (re.compile(rf"({LETTER}{{1,10}})\s*-\s+({LETTER}{{2,}})"), _short_enough),
-    (re.compile(rf"({LETTER}{{1,8}})\s+\r?\n\s+({LETTER}{{2,}})"), _belongs),
-    (re.compile(rf"({LETTER}{{1,8}})\r?\n\s+({LETTER}{{2,}})"), _belongs),
-    (re.compile(rf"([\s.,;:!?])\s*\r?\n\s+({LETTER}{{2,}})"), r"\1 \2"),
-    (re.compile(rf"^\s*\r?\n\s+({LETTER}{{2,}})", re.M), r"\1"),
-    (re.compile(rf"({LETTER}{{6,15}})\s*-{_BREAK}({LETTER}{{2,6}})"), _short_enough),
+    (re.compile(rf"({LETTER}{{1,{HEAD}}})\s*+-{_BREAK}({LETTER}{{2,}})"), _short_enough),
+    (re.compile(rf"({LETTER}{{1,{HEAD}}})\s*+-\s++({LETTER}{{2,}})"), _short_enough),
+    (re.compile(rf"({LETTER}{{1,{SPACED_HEAD}}})\s{_WIDE}({LETTER}{{2,}})"), _belongs),
+    (re.compile(rf"({LETTER}{{1,{SPACED_HEAD}}})\r?\n\s++({LETTER}{{2,}})"), _belongs),
+    (re.compile(rf"([.,;:!?]|(?<![\s.,;:!?])\s){_WIDE}({LETTER}{{2,}})"), r"\1 \2"),
+    (re.compile(rf"(\A|(?<=\S)[^\S\n]*+\n){_WIDE}({LETTER}{{2,}})"), r"\1\2"),
+    (re.compile(rf"({LETTER}{{{LONG_HEAD}}})\s*+-{_BREAK}({LETTER}{{{SHORT_TAIL}}})"), _short_enough),
     (re.compile(rf"({LETTER}){_BREAK}({LETTER})"), r"\1 \2"),
 ]
 
@@ -113,6 +124,12 @@ def _mend(texts: pd.Series) -> pd.Series:
 
 
 def mend_breaks(text: Column) -> Column:
-    """Line-break repair of lower-cased text; only texts with a line feed or a hyphen go through Python."""
+    """Line-break repair of lower-cased text.
+
+    All steps but the last need white space behind a hyphen or a line feed; only texts with that go through Python.
+    """
     udf = F.pandas_udf(_mend, "string")
-    return F.when(text.contains("\n") | text.contains("-"), udf(text)).otherwise(strip_soft(text))
+    bare = strip_soft(text)
+    # a letter, white space that ends in a line feed, a letter: such texts have no other breaks between letters
+    last = F.regexp_replace(bare, F.lit(rf"({LETTER})[{SPACE}]*+(?<=\n)({LETTER})"), F.lit("$1 $2"))
+    return F.when(bare.rlike(rf"[-\n][{SPACE}]"), udf(text)).otherwise(last)

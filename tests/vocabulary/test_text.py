@@ -1,3 +1,5 @@
+import time
+
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -83,3 +85,16 @@ def test_valid_translation(spark):
 
 def test_series_function():
     assert X._mend(pd.Series(["od-\nnako", None])).tolist()[0] == "odnako"
+
+
+def test_long_runs_of_white_space_take_no_time():
+    for text in ("a" + "\n" * 100_000 + "1", " \n" * 100_000, "a-" + "\n" * 100_000, "..." + "\n" * 100_000 + "x", " " * 100_000 + "\n" + " " * 100_000):
+        began = time.time()
+        X.mend(text)
+        assert time.time() - began < 5
+
+
+def test_texts_mended_without_python(spark):
+    texts = ["a\nb\nc", "x \nfoo\t\x1c\nbar", "word\r\nnext", "é\nab", "foo-bar\nbaz", "12\nab", None, "", "ab­\ncd"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.mend_breaks(F.col("t")).alias("m")).collect()
+    assert [r.m for r in rows] == [X.mend(t) for t in texts]
