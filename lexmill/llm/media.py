@@ -1,8 +1,8 @@
 """Media columns: ISO base media containers in a binary column, described without decoding their payload.
 
-`describe` walks the nested boxes of a container (ISO/IEC 14496-12), decodes the sample tables of
-its first track that has samples, and gives codec, timing and the byte ranges of the key frames.
-Media data boxes are skipped, never read. `wrap_texts` is the writing side: it stores a text as raw 8-bit samples of 16 x 12
+`tracks` walks the nested boxes of a container (ISO/IEC 14496-12), to any depth, and decodes the sample tables of all
+tracks, compact sizes and movie fragments included; `describe` gives codec, timing and the byte ranges of the key frames of the
+first video track, or of the first track where there is no video. Media data boxes are skipped, never read. `wrap_texts` is the writing side: it stores a text as raw 8-bit samples of 16 x 12
 grey pixels (192 bytes a frame), a key frame every `GOP` frames, `CHUNK` frames to a chunk, so that
 the text can be read back byte by byte through the sample tables.
 
@@ -114,86 +114,166 @@ def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple
         start += size
 
 
-def _tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
-    """Of every track, where the leaf boxes lie."""
-    found: list[dict[bytes, tuple[int, int]]] = []
-    stack = [(0, len(data), 0)]
-    while stack:
-        start, end, depth = stack.pop()
-        nested = []
-        for kind, a, b in boxes(data, start, end):
-            if kind == b"trak":
-                found.append({})
-            if kind in NESTED and depth < 16:
-                if kind == b"trak":  # a track's own boxes before the next track
-                    leaves, todo = found[-1], [(a, b)]
-                    while todo:
-                        for k, x, y in boxes(data, *todo.pop()):
-                            if k in NESTED:
-                                todo.append((x, y))
-                            else:
-                                leaves.setdefault(k, (x, y))
-                else:
-                    nested.append((a, b, depth + 1))
-        stack += reversed(nested)
+def _number(data: bytes, at: tuple[int, int], offset: int, kind: str = ">I") -> int:
+    """One number of the box at, `offset` bytes from its first."""
+    a, b = at
+    if a + offset + struct.calcsize(kind) > b:
+        raise ValueError("a box is cut off")
+    return struct.unpack_from(kind, data, a + offset)[0]
+
+
+def _leaves(data: bytes, start: int, end: int) -> dict[bytes, tuple[int, int]]:
+    """Where the leaf boxes in start..end lie, the first of each kind; boxes may be nested to any depth."""
+    found: dict[bytes, tuple[int, int]] = {}
+    todo = [(start, end)]
+    while todo:
+        for kind, a, b in boxes(data, *todo.pop()):
+            if kind in NESTED:
+                todo.append((a, b))
+            else:
+                found.setdefault(kind, (a, b))
     return found
 
 
 def _table(data: bytes, at: tuple[int, int], kind: str, width: int, skip: int = 4) -> np.ndarray:
     """Rows of a counted table in a full box; skip: bytes before the count."""
     a, b = at
-    (n,) = struct.unpack_from(">I", data, a + skip)
+    n = _number(data, at, skip)
     if a + skip + 4 + n * width * np.dtype(kind).itemsize > b:
         raise ValueError("a sample table is cut off")
     return np.frombuffer(data, kind, n * width, a + skip + 4).astype(np.int64).reshape(n, width)
 
 
-def sample_table(data: bytes) -> dict:
-    """codec, timescale, duration, and offset, size and key of every sample of the first track that has some."""
-    reason = "no track"
-    for track in _tracks(data):
-        missing = [k.decode() for k in (b"stsd", b"stts", b"stsc", b"mdhd") if k not in track]
-        if missing or not (b"stsz" in track and (b"stco" in track or b"co64" in track)):
+def _sizes(data: bytes, boxes_of: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """The size of every sample, from stsz or the compact stz2."""
+    if b"stsz" in boxes_of:
+        fixed, n = _number(data, boxes_of[b"stsz"], 4), _number(data, boxes_of[b"stsz"], 8)
+        if not fixed:
+            return _table(data, boxes_of[b"stsz"], ">u4", 1, skip=8)[:, 0]
+        if fixed * n > len(data):  # before room is made for them
+            raise ValueError("a sample lies outside the file")
+        return np.full(n, fixed, np.int64)
+    a, b = boxes_of[b"stz2"]
+    bits, n = _number(data, (a, b), 7, ">B"), _number(data, (a, b), 8)
+    if bits not in (4, 8, 16) or a + 12 + -(-n * bits // 8) > b:
+        raise ValueError("a sample table is cut off")
+    if bits == 4:
+        pairs = np.frombuffer(data, np.uint8, -(-n // 2), a + 12)
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, f">u{bits // 8}", n, a + 12).astype(np.int64)
+
+
+def _samples(data: bytes, track: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes, keys of the samples that a track's tables name, and their duration."""
+    sizes = _sizes(data, track)
+    n = len(sizes)
+    times = _table(data, track[b"stts"], ">u4", 2)
+    chunk_at = (_table(data, track[b"co64"], ">u8", 1) if b"co64" in track else _table(data, track[b"stco"], ">u4", 1))[:, 0]
+    runs = _table(data, track[b"stsc"], ">u4", 3)
+    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunk_at)))) if len(runs) else np.zeros(0, np.int64)
+    if per_chunk.sum() != n or len(per_chunk) != len(chunk_at):
+        raise ValueError("chunks and samples disagree")
+    before = np.cumsum(sizes) - sizes
+    first = np.cumsum(per_chunk) - per_chunk  # the first sample of each chunk
+    base = np.repeat(chunk_at - before[np.minimum(first, n - 1)], per_chunk) if n else np.zeros(0, np.int64)
+    keys = np.ones(n, bool)
+    if b"stss" in track:
+        keys = np.zeros(n, bool)
+        which = _table(data, track[b"stss"], ">u4", 1)[:, 0] - 1
+        if len(which) and (which.min() < 0 or which.max() >= n):
+            raise ValueError("a key frame is no sample")
+        keys[which] = True
+    return base + before, sizes, keys, int((times[:, 0] * times[:, 1]).sum())
+
+
+def _fragment(data: bytes, moof: tuple[int, int], start: int, defaults: dict[int, tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(track, offsets, sizes, keys, duration) of each run of samples in a movie fragment that begins at start."""
+    for kind, a, b in boxes(data, *moof):
+        if kind != b"traf":
+            continue
+        parts = list(boxes(data, a, b))
+        head = next(((x, y) for k, x, y in parts if k == b"tfhd"), None)
+        if head is None:
+            raise ValueError("a fragment lacks its header")
+        flags, track, at = _number(data, head, 0) & 0xFFFFFF, _number(data, head, 4), 8
+        base, given = start, list(defaults.get(track, (0, 0, 0)))
+        if flags & 1:
+            base, at = _number(data, head, at, ">Q"), at + 8
+        at += 4 * bool(flags & 2)
+        for i, bit in enumerate((8, 16, 32)):
+            if flags & bit:
+                given[i], at = _number(data, head, at), at + 4
+        place = base
+        for kind_of, x, y in parts:
+            if kind_of != b"trun":
+                continue
+            flags, n, at = _number(data, (x, y), 0) & 0xFFFFFF, _number(data, (x, y), 4), 8
+            if flags & 1:
+                place, at = base + _number(data, (x, y), at, ">i"), at + 4
+            first = None
+            if flags & 4:
+                first, at = _number(data, (x, y), at), at + 4
+            columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if x + at + 4 * n * len(columns) > y or (not columns and n * max(1, given[1]) > len(data)):
+                raise ValueError("a sample table is cut off")
+            rows = np.frombuffer(data, ">u4", n * len(columns), x + at).astype(np.int64).reshape(n, len(columns))
+            column = lambda bit, value, n=n, rows=rows, columns=columns: rows[:, columns.index(bit)] if bit in columns else np.full(n, value, np.int64)
+            sizes, marks = column(0x200, given[1]), column(0x400, given[2]).copy()
+            if first is not None and n:
+                marks[0] = first
+            yield track, place + np.cumsum(sizes) - sizes, sizes, marks & 0x10000 == 0, int(column(0x100, given[0]).sum())
+            place += int(sizes.sum())
+
+
+def tracks(data: bytes) -> list[dict]:
+    """handler, codec, timescale, duration, and offset, size and key of every sample, of each track; those in fragments come last."""
+    found, defaults, reason, fragments = [], {}, "no track", []
+    for kind, a, b in boxes(data):
+        if kind == b"moov":
+            for k, x, y in boxes(data, a, b):
+                if k == b"trak":
+                    found.append(_leaves(data, x, y))
+                elif k == b"mvex":
+                    for e, p, q in boxes(data, x, y):
+                        if e == b"trex":
+                            defaults[_number(data, (p, q), 4)] = tuple(_number(data, (p, q), i) for i in (12, 16, 20))
+        elif kind == b"moof":
+            fragments.append((a, b))
+    pieces: dict[int, list] = {}
+    for a, b in fragments:
+        for track, *rest in _fragment(data, (a, b), a - 8, defaults):
+            pieces.setdefault(track, []).append(rest)
+    out = []
+    for track in found:
+        missing = [k.decode() for k in (b"stsd", b"mdhd") if k not in track]
+        placed = (b"stsz" in track or b"stz2" in track) and (b"stco" in track or b"co64" in track) and b"stts" in track and b"stsc" in track
+        number = _number(data, track[b"tkhd"], 20 if _number(data, track[b"tkhd"], 0, ">B") == 1 else 12) if b"tkhd" in track else 0
+        if missing or not (placed or number in pieces):
             reason = f"a track lacks {', '.join(missing) or 'its sample places'}"
             continue
-        a, b = track[b"mdhd"]
-        if data[a] == 1:
-            timescale = struct.unpack_from(">I", data, a + 20)[0]
-        else:
-            timescale = struct.unpack_from(">I", data, a + 12)[0]
+        timescale = _number(data, track[b"mdhd"], 20 if _number(data, track[b"mdhd"], 0, ">B") == 1 else 12)
         if not timescale:
             raise ValueError("no timescale")
+        _number(data, track[b"stsd"], 12)
         codec = data[track[b"stsd"][0] + 12 : track[b"stsd"][0] + 16].decode("latin-1")
-        a, b = track[b"stsz"]
-        fixed, n = struct.unpack_from(">II", data, a + 4)
-        if fixed:
-            sizes = np.full(n, fixed, np.int64)
-        else:
-            sizes = _table(data, (a, b), ">u4", 1, skip=8)[:, 0]
-        times = _table(data, track[b"stts"], ">u4", 2)
-        duration = int((times[:, 0] * times[:, 1]).sum())
-        chunk_at = (_table(data, track[b"co64"], ">u8", 1) if b"co64" in track else _table(data, track[b"stco"], ">u4", 1))[:, 0]
-        runs = _table(data, track[b"stsc"], ">u4", 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunk_at)))) if len(runs) else np.zeros(0, np.int64)
-        if per_chunk.sum() != n or len(per_chunk) != len(chunk_at):
-            raise ValueError("chunks and samples disagree")
-        before = np.cumsum(sizes) - sizes
-        first = np.cumsum(per_chunk) - per_chunk  # the first sample of each chunk
-        base = np.repeat(chunk_at - before[np.minimum(first, n - 1)], per_chunk) if n else np.zeros(0, np.int64)
-        offsets = base + before
-        if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        handler = data[track[b"hdlr"][0] + 8 : track[b"hdlr"][0] + 12].decode("latin-1") if b"hdlr" in track else ""
+        parts = ([_samples(data, track)] if placed else []) + pieces.get(number, [])
+        offsets, sizes, keys = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
             raise ValueError("a sample lies outside the file")
-        keys = np.ones(n, bool)
-        if b"stss" in track:
-            keys = np.zeros(n, bool)
-            which = _table(data, track[b"stss"], ">u4", 1)[:, 0] - 1
-            if len(which) and (which.min() < 0 or which.max() >= n):
-                raise ValueError("a key frame is no sample")
-            keys[which] = True
-        if n:
-            return {"codec": codec, "timescale": timescale, "duration": duration, "offsets": offsets, "sizes": sizes, "keys": keys}
-        reason = "no samples"
-    raise ValueError(reason)
+        if not len(sizes):
+            reason = "no samples"
+            continue
+        out.append({"handler": handler, "codec": codec, "timescale": timescale, "duration": sum(p[3] for p in parts), "offsets": offsets, "sizes": sizes, "keys": keys})
+    if not out:
+        raise ValueError(reason)
+    return out
+
+
+def sample_table(data: bytes) -> dict:
+    """The first video track that has samples, or else the first track that has some."""
+    every = tracks(data)
+    return next((t for t in every if t["handler"] == "vide"), every[0])
 
 
 def describe(data: bytes | None) -> dict:
@@ -203,7 +283,7 @@ def describe(data: bytes | None) -> dict:
         return none | {"error": "null"}
     try:
         t = sample_table(data)
-    except (ValueError, struct.error) as e:
+    except (ValueError, OverflowError, struct.error) as e:
         return none | {"error": str(e)}
     return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "samples": len(t["sizes"]), "key_offsets": t["offsets"][t["keys"]], "key_sizes": t["sizes"][t["keys"]], "error": None}
 
@@ -221,6 +301,8 @@ def read_payload(data: bytes) -> bytes:
 MEDIA = "media binary, n_bytes long"
 DESCRIBED = pa.schema([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("key_offsets", pa.list_(pa.int64())), ("key_sizes", pa.list_(pa.int64())), ("error", pa.string())])
 
+_SPARK_DESCRIBED = [("codec", "string"), ("timescale", "long"), ("duration", "long"), ("samples", "long"), ("key_offsets", T.ArrayType(T.LongType())), ("key_sizes", T.ArrayType(T.LongType())), ("error", "string")]
+
 
 def _pieces(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
     """Batches of rows, each a little over PIECE bytes at most one row beyond."""
@@ -274,7 +356,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def describe_media(media: DataFrame) -> DataFrame:
     """Of (doc_id, media): doc_id, codec, timescale, duration, samples, key_offsets, key_sizes, error."""
     schema = media.select("doc_id").schema
-    for name, kind in (("codec", "string"), ("timescale", "long"), ("duration", "long"), ("samples", "long"), ("key_offsets", T.ArrayType(T.LongType())), ("key_sizes", T.ArrayType(T.LongType())), ("error", "string")):
+    for name, kind in _SPARK_DESCRIBED:
         schema = schema.add(name, kind)
     return media.select("doc_id", "media").mapInArrow(_describe, schema)
 
@@ -285,30 +367,33 @@ def feature(d: dict) -> str:
         return f"error={d['error']}"
     at, size = np.asarray(d["key_offsets"], np.int64), np.asarray(d["key_sizes"], np.int64)
     ranges = zlib.crc32(np.stack([at, at + size], 1).astype("<i8").tobytes())
-    return f"codec={d['codec'].strip()};seconds={d['duration'] / d['timescale']:.2f};samples={d['samples']};keyframes={len(at)};first={at[0]}+{size[0]};last={at[-1]}+{size[-1]};ranges={ranges:08x}"
+    ends = f"first={at[0]}+{size[0]};last={at[-1]}+{size[-1]};" if len(at) else ""
+    return f"codec={d['codec'].strip()};seconds={d['duration'] / d['timescale']:.2f};samples={d['samples']};keyframes={len(at)};{ends}ranges={ranges:08x}"
+
+
+_DIGEST = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
 
 def _digest(key: pa.DataType):
-    text = pa.string()
-    schema = pa.schema([("doc_id", key), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", text), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", text), ("feature", text)])
+    schema = pa.schema([("doc_id", key), *_DIGEST, *DESCRIBED])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for name, media, n in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data = media.as_py()
-                payload = read_payload(data)
-                yield name.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(describe(data))
+                payload, d = read_payload(data), describe(data)
+                yield name.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(d), *d.values()
 
-    return lambda batches: _pieces(rows(batches), schema, lambda row: 400)
+    return lambda batches: _pieces(rows(batches), schema, lambda row: 400 + 16 * len(row[12]))
 
 
 def digest_media(media: DataFrame) -> DataFrame:
-    """Of (doc_id, media, n_bytes) made by wrap_texts: the digests of the stored bytes and what is read back from them."""
+    """Of (doc_id, media, n_bytes) made by wrap_texts: the digests of the stored bytes and what is read back from them, then what describe() finds."""
     schema = media.select("doc_id").schema
-    for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
+    for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), *_SPARK_DESCRIBED):
         schema = schema.add(name, kind)
     return media.select("doc_id", "media", "n_bytes").mapInArrow(_digest(_arrow(media)), schema)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_media(wrap_texts(table(spark, sf_dir, "documents")))
+    return digest_media(wrap_texts(table(spark, sf_dir, "documents"))).drop("error")
