@@ -7,7 +7,8 @@ to the sink (boilerplate). Blocks that follow each other, and blocks that are ne
 tied by smoothness edges, the weaker the farther apart. The minimum cut between source and sink
 labels all blocks of a page at once: a short line between paragraphs goes with them, a sentence among links does not.
 
-Blocks inside elements that can't hold article text (nav, aside, form, footer and the like) or that are hidden have a capacity that no cut of smoothness edges outweighs; class names and ids (adverts, comments, sidebars) only lower the log-odds, much if that is all they say; scripts, styles and comments of markup are not blocks.
+Blocks inside elements that can't hold article text (nav, aside, form, footer and the like) or that are hidden have a capacity that no cut of smoothness edges outweighs; class names and ids (adverts, comments, sidebars) only lower the log-odds, much if that is all they say; scripts, styles and comments of markup are not blocks. Inline elements that are hidden or named as adverts lose their text. A page of which
+the cut would keep nothing is cut once more with all its log-odds raised, so that a page of a few words is not empty.
 
 The cut is exact. Blocks whose terminal outweighs all their edges are labelled first and folded into
 their neighbours, which settles most pages; augmenting paths settle the rest.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,6 +48,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 ENDS_P = BLOCK - {"br", "button", "label", "option", "body", "html", "head", "td", "th", "tr", "caption"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_IN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+#: Elements that an item's start tag looks for: the nearest of a set is ended, or is where the search ends.
+SETS = tuple(frozenset(SAME[x] | CLOSED_IN[x]) for x in ("li", "dt", "option", "tr"))
+SET_OF = {"li": 0, "dt": 1, "dd": 1, "option": 2, "tr": 3, "td": 3, "th": 3}
+IN_SETS = frozenset().union(*SETS)
+#: An open p beyond one of these is not ended.
+P_SCOPE = {"button", "td", "th", "article", "body"}
 #: What a head may hold; all else ends it.
 IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: Elements and roles that never hold article text, and words of class names or ids that speak against it.
@@ -58,6 +65,8 @@ WORDS = set(
     "paywall popup promo promoted promotion recommend recommended recommendations related replies reply respond search share sharing sidebar signup sitemap skip social sponsor sponsored "
     "subscribe subscription taboola tagcloud toolbar trending widget".split()
 )
+#: Of these, what takes an inline element's text out of the block it is in, as being hidden does.
+ADVERTS = {"ad", "ads", "advert", "advertisement", "advertising", "adsense", "outbrain", "promo", "promoted", "promotion", "sponsor", "sponsored", "taboola"}
 #: A name with one of these tells of the layout around a part (has-sidebar, comments-open), not of the part.
 LAYOUT = {"has", "no", "with", "without", "open", "closed", "enabled", "disabled"}
 GOOD = {"article", "content", "entry", "main", "post", "story", "articlebody", "body", "text"}
@@ -67,10 +76,14 @@ BIAS, IN_ARTICLE, PARAGRAPH, HEADING, LENGTH, STOPS, LINKS, GOOD_NAME, OUTSIDE,
 #: Against names of words in WORDS alone, and names that have other words as well.
 BAD_NAME, PART_NAME = 9.0, 2.0
 FOLLOW, TIE = 2.4, 3.6
+#: What all blocks of a page gain where nothing would be kept: a page of a few words is these words.
+SPARSE = 3.0
 
 
 class _Element:
-    __slots__ = ("good", "article", "links", "name", "named", "never", "number", "parent", "depth")
+    """An open element; what its ancestors are is handed down, so no tag looks up the tree."""
+
+    __slots__ = ("good", "article", "links", "name", "named", "never", "unseen", "number", "parent", "depth", "block", "head", "p", "near")
 
     def __init__(self, name: str, attributes: str, parent: _Element | None, number: int):
         self.name, self.parent, self.number = name, parent, number
@@ -79,6 +92,14 @@ class _Element:
         self.good = bool(parent and parent.good)
         self.named = parent.named if parent else 0.0
         self.never = bool(parent and parent.never) or name in NOT_TEXT or (name == "header" and not self.article)
+        self.unseen = bool(parent and parent.unseen and name not in BLOCK)
+        # the nearest block-level element, the head it is in, the p that a block would end, and the nearest of each of SETS
+        self.block = self if not parent or name in BLOCK else parent.block
+        self.head = self if name == "head" else parent.head if parent else None
+        self.p = self if name == "p" else None if name in P_SCOPE else parent.p if parent else None
+        self.near = parent.near if parent else (None,) * len(SETS)
+        if name in IN_SETS:
+            self.near = tuple(self if name in names else old for names, old in zip(SETS, self.near, strict=True))
         self.links = bool(parent and parent.links) or name == "a"
         if attributes and not self.never and name not in ("html", "body"):
             for key, *values in _ATTRIBUTE.findall(attributes):
@@ -86,6 +107,7 @@ class _Element:
                 if key in ("class", "id"):
                     for one in value.split():
                         words = {w.lower() for w in _NAME.findall(one)}
+                        self.unseen |= name not in BLOCK and bool(words) and words <= ADVERTS
                         if words & WORDS and not words & LAYOUT:
                             self.named = max(self.named, BAD_NAME if words <= WORDS else PART_NAME)
                         self.good |= bool(words & GOOD)
@@ -96,6 +118,7 @@ class _Element:
                     self.article |= value.lower() == "articlebody"
                 elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
                     self.never = True
+                    self.unseen |= name not in BLOCK
 
 
 def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
@@ -105,6 +128,7 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
     parts: list[str] = []
     linked, place, number = 0, here, 0
     in_block = ""
+    opened: defaultdict[str, list[_Element]] = defaultdict(list)
 
     def end_block() -> None:
         nonlocal linked
@@ -115,28 +139,33 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
             parts.clear()
             linked = 0
 
-    def end_head() -> None:
+    def leave(e: _Element) -> None:
+        """Close e and all that is open in it."""
         nonlocal here
-        e = here
-        while e is not top and e.name != "head":
-            e = e.parent
-        if e is not top:
+        while here is not e:
+            opened[here.name].pop()
+            here = here.parent
+        opened[e.name].pop()
+        here = e.parent
+
+    def end_head() -> None:
+        if here.head is not None:
             end_block()
-            here = e.parent
+            leave(here.head)
 
     def add(text: str) -> None:
         nonlocal linked, place, in_block
         if here.name == "head" and not text.isspace():
             end_head()
+        if here.unseen:
+            return
         if "&" in text:
             text = unescape(text)
         if not parts:
             if text.isspace():
                 return
-            place, e = here, here
-            while e.parent and e.name not in BLOCK:
-                e = e.parent
-            in_block, place = e.name, e
+            place = here.block
+            in_block = place.name
         parts.append(text)
         if here.links:
             linked += len(text.strip())
@@ -159,13 +188,11 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
         if m[1]:
             if name in BLOCK:
                 end_block()
-            e = here
-            while e is not top and e.name != name:
-                e = e.parent
-            if e is not top:
-                if e.depth < here.depth and name not in BLOCK and any_block(here, e):
-                    continue  # an inline end tag does not close the blocks in it
-                here = e.parent
+            if opened[name]:
+                e = opened[name][-1]
+                # an inline end tag does not close the blocks in it
+                if name in BLOCK or here.block.depth <= e.depth:
+                    leave(e)
             continue
         if name not in IN_HEAD:
             end_head()
@@ -180,34 +207,21 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
             continue
         if name in BLOCK:
             end_block()
-            if name in ENDS_P:
-                e = here
-                while e is not top and e.name not in ("p", "button", "td", "th", "article", "body"):
-                    e = e.parent
-                if e.name == "p":
-                    here = e.parent
+            if name in ENDS_P and here.p is not None:
+                leave(here.p)
             if name in SAME:
-                e = here
-                while e is not top and e.name not in SAME[name] and e.name not in CLOSED_IN[name]:
-                    e = e.parent
-                if e.name in SAME[name]:
-                    here = e.parent
+                e = here.near[SET_OF[name]]
+                if e is not None and e.name in SAME[name]:
+                    leave(e)
         if name not in VOID:
             if not m[0].endswith("/>") or name in BLOCK:
                 number += 1
                 here = _Element(name, m[3], here, number)
+                opened[name].append(here)
     end_block()
     return out
 
 
-def any_block(low: _Element, high: _Element) -> bool:
-    while low is not high:
-        if low.name in BLOCK:
-            return True
-        low = low.parent
-    return False
-
-
 def log_odds(text: str, element: _Element, links: float, kind: str, page_has_article: bool) -> float:
     if element.never:
         return -NEVER
@@ -331,7 +345,10 @@ def main_text(html: str | None) -> str:
         return ""
     article = any(e.article and not e.never and e.named < BAD_NAME for _, e, _, _ in found)
     score = [log_odds(*b, article) for b in found]
-    keep = min_cut(score, smoothness(found))
+    edges = smoothness(found)
+    keep = min_cut(score, edges)
+    if not any(keep):
+        keep = min_cut([s + SPARSE for s in score], edges)
     return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 
