@@ -35,7 +35,12 @@ LONGEST = 48
 REMEMBER = 400_000
 SPACE, BATCH = 32, 1024
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else SPACE for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals that are none.
+_LETTERS = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTERS.finditer(text))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -193,7 +198,7 @@ class Reader:
         self.sums = np.zeros((0, 2 * len(model.languages) + 1), np.float32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        docs = [words_of(t) if t and _LETTER.search(t) else [] for t in texts]
+        docs = [words_of(t) if t and has_letter(t) else [] for t in texts]
         new = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in self.place]
         sums = self.model.pooled(new)
         place = {w: len(self.sums) + i for i, w in enumerate(new)}
@@ -214,19 +219,21 @@ class Reader:
         return out
 
 
-def training_sample(docs: DataFrame, docs_per_language: int = 300, max_bytes: int = 20_000, folds: int = 5, languages: int = 200) -> list:
+def training_sample(docs: DataFrame, docs_per_language: int = 300, max_bytes: int = 20_000, folds: int = 5) -> list:
     """(lang, text) rows, a bounded sample by hash of the id; docs has doc_id, text and lang."""
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     usable = docs.where((fold != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language-id")), F.lit(1 << 30))
     chosen = F.lit(False)
     for r in counts:
         chosen |= (F.col("lang") == r["lang"]) & (draw < int((1 << 30) * min(1.0, docs_per_language / r["count"])))
-    found = usable.where(chosen).select("lang", "text", "doc_id").limit(2 * docs_per_language * len(counts)).collect()
-    return sorted(found, key=lambda r: (r["doc_id"], r["text"]))
+    # ids that recur may bring more rows: then those of the least hash of id and text are taken
+    least = F.xxhash64("doc_id", "text", F.lit("language-id"))
+    found = usable.where(chosen).select("lang", "text", "doc_id").orderBy(least, "doc_id", "text", "lang").limit(2 * docs_per_language * len(counts)).collect()
+    return sorted(found, key=lambda r: (r["doc_id"], r["text"], r["lang"]))
 
 
 def train(docs: DataFrame, hidden: int = 16, steps: int = 600, **sample) -> BiGru:

@@ -144,9 +144,9 @@ def graded(docs: DataFrame, labels: DataFrame, rated: int = 3000, max_bytes: int
     marks = labels.select("doc_id", grade.alias("grade")).where("grade is not null and doc_id is not null")
     n = marks.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30))
-    marks = marks.where(draw < int((1 << 30) * min(1.0, rated / max(1, n)))).limit(2 * rated)
+    marks = marks.where(draw < int((1 << 30) * min(1.0, rated / max(1, n)))).orderBy(draw, "doc_id", "grade").limit(2 * rated)
     side = F.broadcast(marks)  # at most 2 * rated rows
-    found = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", "text").join(side, "doc_id").limit(4 * rated).collect()
+    found = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", "text").join(side, "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "grade").limit(4 * rated).collect()
     return sorted(found, key=lambda r: (r["doc_id"], r["grade"], r["text"]))
 
 
