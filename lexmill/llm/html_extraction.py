@@ -186,7 +186,7 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
             continue
         name = name.lower()
         if m[1]:
-            if name in BLOCK:
+            if name in BLOCK and (opened[name] or name in ("p", "br")):
                 end_block()
             if opened[name]:
                 e = opened[name][-1]
