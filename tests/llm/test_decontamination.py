@@ -32,11 +32,12 @@ def plain(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize(("seed", "short", "bound"), [(1, False, 200_000), (2, True, 200_000), (3, False, 0), (4, True, 0)])
+@pytest.mark.parametrize(("seed", "short", "bound"), [(1, False, 200_000), (2, True, 200_000), (3, False, -1), (4, True, -1)])
 def test_against_all_windows(spark, monkeypatch, seed, short, bound):
-    monkeypatch.setattr(D, "FINGERPRINTS_TO_BROADCAST", bound)
+    monkeypatch.setattr(D, "PRINTS_TO_BROADCAST", bound)
+    monkeypatch.setattr(D, "HITS_TO_BROADCAST", bound)
     rng = random.Random(seed)
-    vocabulary = ["the", "of", "a1", "ünï", "Straße", "x", "ÉÀ", "q7", "n"]
+    vocabulary = ["the", "of", "a1", "ünï", "Straße", "x", "ÉÀ", "q7", "ΑΣ", "n"]
     text = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([2, 4, 9])]) for _ in range(n))
     items = [(i, text(rng.randint(1 if short else 13, 40))) for i in range(12)] + [(90, None), (91, " ,, ")] + [(92, text(20))] * 2
     docs = [(i, text(rng.randint(0, 60))) for i in range(40)]
@@ -50,6 +51,26 @@ def test_against_all_windows(spark, monkeypatch, seed, short, bound):
     assert sorted(rows) == sorted(plain(docs, items))
 
 
+def test_long_items_and_documents(spark):
+    """One item of 200,000 words, one document of 1,000,000 that holds parts of it."""
+    word = lambda i: f"w{i * 2654435761 % 2**32:x}"
+    item = [word(i) for i in range(200_000)]
+    other = [word(10**7 + i) for i in range(1_000_000)]
+    other[5000:5013], other[900_000:900_300], other[70:82] = item[1000:1013], item[150_000:150_300], item[7:19]
+    docs = spark.createDataFrame([(1, " ".join(other)), (2, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.decontaminate(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated, got[1].passage) == (1_000_000, 313, 1, False, True)
+    assert (got[2].n_hit, got[2].passage) == (0, False)
+    assert [r.doc_id for r in D.clean_of(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()] == [2]
+
+
+def test_a_passage_in_a_long_document_goes_and_a_short_item_in_it_stays(spark):
+    text = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    items = spark.createDataFrame([(1, text("p", 30)), (2, "yes it is")], "item_id long, text string")
+    rows = [(1, f"{text('x', 500)} {' '.join(text('p', 30).split()[4:17])} {text('y', 500)}"), (2, f"{text('x', 500)} yes it is {text('y', 500)}"), (3, f"{text('x', 500)} {' '.join(text('p', 30).split()[4:16])} {text('y', 500)}"), (4, "Yes, it IS")]
+    assert sorted(r.doc_id for r in D.clean_of(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()) == [2, 3]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join("abcdefghijklmnop"))], "item_id long, text string")
