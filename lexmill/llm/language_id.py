@@ -272,8 +272,9 @@ def _known(model: BiGru, text: int, least: float):
     return keep
 
 
-def of_known_language(docs: DataFrame, model: BiGru, least: float = 0.3) -> DataFrame:
-    """The documents that have a language: predicted, with a score of `least` or more."""
+def of_known_language(docs: DataFrame, model: BiGru, above_chance: float = 1.2) -> DataFrame:
+    """The documents that have a language: predicted, with a score of `above_chance` times that of a guess, 0.3 at most."""
+    least = min(0.3, above_chance / max(1, len(model.languages)))
     return docs.mapInArrow(_known(model, docs.columns.index("text"), least), docs.schema)
 
 

@@ -18,7 +18,7 @@ the documents of that bucket (1/4096 of a source) are ranked. A source with a th
 thus costs no more than any other.
 
 Nulls and ties. A null text has size 0 and takes nothing; null is a source like any other, sorted
-last; a null id is hashed as the word null. Rows that repeat an id are separate documents that sit
+last; a null id is hashed as the word null. The hash is of id and text; rows that repeat both are separate documents that sit
 next to each other in the hash order. An empty table gives no rows.
 """
 
@@ -65,7 +65,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     docs needs doc_id, text and source. Sources in code
     point order get the weights in turn. share must be a multiple of a half.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # the text as well, so that rows without an id, or with one id, don't fall into one bucket
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
     kept = ["row"] if rows else []
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("_order"), *[F.struct(*[docs[c] for c in docs.columns]).alias(c) for c in kept])
     slim = cut(sized.select("doc_id", "source", "size", "_order"), "mix-sizes")
@@ -129,7 +130,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS o
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS o
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -57,9 +57,16 @@ def fingerprint(text: str | None, width: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before the text, which is the last one, and fp."""
     for batch in batches:
-        found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.array([fingerprint(x.as_py()) for x in batch.column(batch.num_columns - 1)], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*batch.schema.names[:-1], "fp"])
+
+
+def fingerprints(docs: DataFrame, *kept: Column | str) -> DataFrame:
+    """kept and fp of docs (text)."""
+    with_text = docs.select(*kept, "text")
+    return with_text.mapInArrow(_fingerprints, with_text.drop("text").schema.add("fp", "long"))
 
 
 def _triples() -> list[tuple[int, ...]]:
@@ -157,13 +164,18 @@ def links(fps: DataFrame, longest: int = LONGEST) -> DataFrame:
     return _edges(lists.join(long_ones, "key", "left_anti")).unionByName(_edges(dealt))
 
 
+def grouped(fps: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """fps (fp, all different, and more) with `component`, one fingerprint of their group."""
+    groups = connected_components(links(fps.select("fp"), longest), "simhash")
+    named = fps.join(groups, F.col("fp") == F.col("node"), "left").select(*fps.columns, F.coalesce("component", "fp").alias("component"))
+    return cut(named, "simhash-named")
+
+
 def near_duplicates(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the least id reachable by links."""
-    each = cut(docs.select("doc_id", "text").mapInArrow(_fingerprints, docs.select("doc_id").schema.add("fp", "long")), "simhash-each")
+    each = cut(fingerprints(docs, "doc_id"), "simhash-each")
     fps = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    groups = connected_components(links(fps, longest), "simhash")
-    named = fps.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = cut(named, "simhash-named")
+    named = grouped(fps, longest)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = cut(named.join(least, "component").select("fp", "component_id"), "simhash-labels")
     drop_table(fps)
@@ -171,9 +183,18 @@ def near_duplicates(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least id; documents without an id can't be told apart and stay."""
-    others = near_duplicates(docs, longest).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row: that of the least id (rows without one come last), then of the least hash of id and text.
+
+    Rows are told apart by two 64-bit hashes of id and text, so rows that share an id don't go for one another; of rows equal in both one stays.
+    """
+    key = lambda: F.struct(F.xxhash64(docs["doc_id"], docs["text"]).alias("a"), F.xxhash64(docs["text"], docs["doc_id"], F.lit(1)).alias("b"))
+    place = F.struct(docs["doc_id"].isNull().alias("without"), docs["doc_id"].alias("doc_id"), key().alias("row")).alias("place")
+    each = cut(fingerprints(docs, place), "simhash-each")
+    named = grouped(cut(each.groupBy("fp").agg(F.min("place").alias("place")), "simhash-fps"), longest)
+    stays = cut(named.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("_stays")).distinct(), "simhash-stays")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    found = docs.select(row, key().alias("_stays")).join(stays, "_stays")
+    return found.groupBy("_stays").agg(F.first("row").alias("row")).select("row.*")
 
 
 def hex64(x: Column) -> Column:

@@ -343,7 +343,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, longest: int = 16_384, sha
     hot = cut(hot, "suffix-hot")
     wanted = each.join(hot, "h", "left").select("h", "r.*", F.coalesce("hot", F.lit(0)).cast("long").alias("hot"), (F.col("c") > 1).alias("known"))
     wanted = wanted.groupBy("tid", "n").agg(F.collect_list(F.struct("h", "a", "b", "hot", "known")).alias("wanted"))
-    texts = wanted.join(docs.select("tid", "n", F.col("text").cast("binary").alias("text")), ["tid", "n"]).groupBy("tid", "n").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    # one of each group of copies, partly chosen before the shuffle: copies of a text never meet in one task
+    one = docs.select("tid", "n", F.col("text").cast("binary").alias("text")).groupBy("tid", "n").agg(F.first("text").alias("text"))
+    texts = one.join(wanted, ["tid", "n"]).select("tid", "n", "text", "wanted")
     pieces = cut(texts.mapInArrow(_cut_out(span), "h long, tid long, n long, a long, hot long, known boolean, bytes binary"), "suffix-pieces")
     _free(spark)
     part = F.when(F.col("hot") > 0, F.xxhash64("h", F.pmod(F.xxhash64("tid", "a"), F.col("hot")))).otherwise(F.col("h"))

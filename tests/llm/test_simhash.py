@@ -93,3 +93,13 @@ def test_long_chain_settles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_rows_go_not_ids(spark):
+    """Two rows of id 5, one a copy of document 1 and one a text of its own; equal rows; copies that share the least id; no id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "r1"), (5, a, "r2"), (5, b, "r3"), (7, c, "r4"), (7, c, "r4"), (8, c, "r5"), (None, d, "r6"), (9, d, "r7"), (None, d + " e", "r8"), (10, None, "r9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.row for r in got.collect()) in (["r1", "r3", "r4", "r7", "r9"], ["r1", "r3", "r4", "r7", "r8", "r9"])
+    assert S.one_of_each(docs.limit(0)).count() == 0
