@@ -5,9 +5,15 @@ again as the next one's docs. All but the last return the columns of documents.
 
   language_id      a bidirectional recurrent network; documents without a language go
   near_dedup       SimHash; of each group of near-duplicates the document with the least id stays
-  decontaminate    winnowing; documents of whose words benchmark windows cover 5 % or more go
+  decontaminate    winnowing; documents go that hold 13 words in a row of a benchmark item, or of whose words
+                   shorter items cover 5 % or more
   mix              capped water-filling; documents are repeated as their source's target asks
   token_output     ids packed into shard files; one row per document of the mix, read back from them
+
+Defined results. Null, empty and letterless texts have no language and go in the first stage. Rows that share an id are documents
+of their own; of rows equal in id and text one is left after near_dedup. A null id is kept as such, a null source is a source like any
+other, a null lang is not looked at. Texts are taken whole, however long. An empty table gives no rows, and so
+does one of which nothing is left. Other columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
