@@ -12,24 +12,25 @@ from pyspark.sql import functions as F
 
 
 class _Functions(ast.NodeVisitor):
-    """Functions by bare name, each with the names called right inside it."""
+    """Functions, and by bare name what is called right inside them; functions of one name in a file share their calls."""
 
     def __init__(self) -> None:
-        self.inside: list[dict] = []
-        self.found: list[dict] = []
+        self.inside: list[str] = []
+        self.found: list[tuple[str, list[str], str]] = []
+        self.calls: dict[str, list[str]] = {}
 
     def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        doc = (ast.get_docstring(node) or "").strip().split("\n")[0]
-        here = {"name": node.name, "args": [a.arg for a in node.args.args if a.arg != "self"], "doc": doc, "calls": []}
-        self.found.append(here)
-        self.inside.append(here)
+        first_line = (ast.get_docstring(node) or "").strip().split("\n")[0]
+        names = [a.arg for a in node.args.args]
+        self.found.append((node.name, names[1:] if names[:1] == ["self"] else names, first_line))
+        self.inside.append(node.name)
         self.generic_visit(node)
         self.inside.pop()
 
     def visit_Call(self, node: ast.Call) -> None:
         name = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
         if name and self.inside:
-            self.inside[-1]["calls"].append(name)
+            self.calls.setdefault(self.inside[-1], []).append(name)
         self.generic_visit(node)
 
 
@@ -42,7 +43,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 visitor.visit(ast.parse(source or ""))
             except SyntaxError:
                 continue
-            rows += [(module, f["name"], f["args"], f["doc"], f["calls"]) for f in visitor.found]
+            rows += [(module, name, args, doc, visitor.calls.get(name, [])) for name, args, doc in visitor.found]
         yield pd.DataFrame(rows, columns=["module", "name", "args", "doc", "calls"])
 
 
@@ -62,3 +63,14 @@ def pruned(all_edges: DataFrame, most: int = 8) -> DataFrame:
     """Of every src its first `most` edges by dst."""
     rank = F.row_number().over(W.partitionBy("src").orderBy("dst"))
     return all_edges.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
+
+
+def dot(found: DataFrame, all_edges: DataFrame) -> DataFrame:
+    """The graph as DOT text: rows (part, line), to be written in their order; parts: 0 head, 1 functions by module, 2 calls, 3 end."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    session = found.sparkSession
+    ends = session.createDataFrame([(0, "digraph calls {"), (3, "}")], "part int, line string")
+    label = F.concat(F.col("name"), F.lit("("), F.array_join("args", ", "), F.lit(")"), F.when(F.col("doc") != "", F.concat(F.lit("\\n"), "doc")).otherwise(""))
+    nodes = found.select(F.lit(1).alias("part"), F.concat(quoted(F.concat_ws(".", "module", "name")), F.lit(" [label="), quoted(label), F.lit(", group="), quoted(F.col("module")), F.lit("];")).alias("line"))
+    calls = all_edges.select(F.lit(2).alias("part"), F.concat(quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.when(F.col("crosses"), " [penwidth=1.4]").otherwise(""), F.lit(";")).alias("line"))
+    return ends.unionByName(nodes.distinct()).unionByName(calls.distinct())

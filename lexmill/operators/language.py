@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
 from lexmill.operators.joins import join_same
 
 
@@ -18,8 +19,25 @@ def samples(books: DataFrame, count: int = 10, length: int = 1000, seed: int = 0
     return books.where("text is not null").select("category", "book", F.explode(pieces).alias("sample"))
 
 
-def detect(pieces: DataFrame, detector: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    return pieces.select("category", "book", F.pandas_udf(detector, "string")(F.col("sample")).alias("language"))
+#: Frequent short words by which the built-in detector knows a language; a parameter.
+FREQUENT = {
+    "de": "der die und das nicht ist von mit ein auch", "en": "the of and to in that is was for with", "es": "el los las que una por con para del como",
+    "fr": "le les des est que une dans pour qui pas", "ru": "и в не на что он как это по из",
+}
+
+
+def by_frequent_words(text: Column, frequent: dict[str, str] = FREQUENT) -> Column:
+    """The language most of whose frequent words a text has (ties: the first in the alphabet), null if it has none."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(X.WORD), F.lit(0))
+    hits = F.array(*[F.struct((-F.size(F.filter(words, lambda w, own=own: w.isin(*own.split())))).alias("n"), F.lit(k).alias("language")) for k, own in sorted(frequent.items())])
+    best = F.array_min(hits)
+    return F.when(best["n"] < 0, best["language"])
+
+
+def detect(pieces: DataFrame, detector: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """(category, book, language) of every sample: by a plug-in (its answers may be of the form __label__xx), or by frequent words."""
+    found = F.pandas_udf(detector, "string")(F.col("sample")) if detector else by_frequent_words(F.col("sample"))
+    return pieces.select("category", "book", F.replace(found, F.lit("__label__"), F.lit("")).alias("language"))
 
 
 def vote(found: DataFrame, keys: list[str], column: str = "language") -> DataFrame:

@@ -36,3 +36,8 @@ def ranked(words: DataFrame, keys: list[str], totals: bool = False) -> DataFrame
     if totals:
         out = out.withColumn("running", F.col("_sum") + (F.col("rn") - F.col("_before")) * F.col("cnt")).drop("_sum")
     return out.drop("_head", "_before")
+
+
+def in_order(words: DataFrame, *keys: str) -> DataFrame:
+    """words sorted for output: by keys, falling count and word."""
+    return words.orderBy(*keys, F.desc("cnt"), "word")

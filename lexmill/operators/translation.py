@@ -70,3 +70,9 @@ def with_translation(words: DataFrame, translations: DataFrame, word: str | Colu
     """words with their translation, or null; of one word only if given."""
     found = words.join(translations.select("word", "translation"), "word", "left")
     return found if word is None else found.where(F.col("word") == word)
+
+
+def first_translation(words: DataFrame, translations: DataFrame, word: str) -> DataFrame:
+    """The first row of a word by its other columns, with its translation: one row, or none."""
+    found = with_translation(words, translations, word)
+    return found.orderBy(*[c for c in found.columns if c != "word"]).limit(1)

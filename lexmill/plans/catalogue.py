@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import language, ledger, lemmas, popularity, similarity, translation, vocabulary
+from lexmill.operators import callgraph, language, ledger, lemmas, popularity, similarity, translation, vocabulary
 from lexmill.operators.callgraph import pruned
-from lexmill.operators.ranking import ranked
+from lexmill.operators.ranking import in_order, ranked
 from lexmill.plans import pipeline
-from lexmill.sources import files
+from lexmill.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +33,7 @@ def _query(sql: str):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return files.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,14 @@ ALIKE = "(abs(length({a}) - length({b})) <= 1 AND levenshtein(translate({a}, 'ß
 
 
 def _pairs_sql(words: str, out: str) -> str:
+    """Pairs meet on the first letters and a length that is that of the one and within one of the other's."""
     alike = ALIKE.format(a="x.word", b="y.word")
-    return f"""{out} AS (
-  SELECT x.category, x.book, left(x.word, 4) AS prefix, x.word AS word_a, x.cnt AS cnt_a, y.word AS word_b, y.cnt AS cnt_b
-  FROM {words} x JOIN {words} y ON x.category = y.category AND x.book = y.book AND left(x.word, 4) = left(y.word, 4)
-   AND length(x.word) >= 5 AND length(y.word) >= 5 AND (x.cnt > y.cnt OR (x.cnt = y.cnt AND x.word < y.word)) AND {alike})"""
+    return f"""{out}_long AS MATERIALIZED (SELECT category, book, left(word, 4) AS prefix, length(word) AS len, word, cnt FROM {words} WHERE length(word) >= 5),
+{out}_met AS (SELECT *, unnest([len - 1, len, len + 1]) AS meets FROM {out}_long),
+{out} AS (
+  SELECT x.category, x.book, x.prefix, x.word AS word_a, x.cnt AS cnt_a, y.word AS word_b, y.cnt AS cnt_b
+  FROM {out}_long x JOIN {out}_met y ON x.category = y.category AND x.book = y.book AND x.prefix = y.prefix AND x.len = y.meets
+  WHERE (x.cnt > y.cnt OR (x.cnt = y.cnt AND x.word < y.word)) AND {alike})"""
 
 
 def _groups_sql(words: str, p: str) -> str:
@@ -147,7 +150,7 @@ def category_pass_split(spark, sf_dir):
     return _books(spark, sf_dir).groupBy("category", "book", vocabulary.is_general(path).alias("is_general")).agg(F.count("*").alias("docs"))
 
 
-@_query(_with(TOKENS, SCIENCE, then="SELECT * FROM sc WHERE word NOT IN (SELECT word FROM wc WHERE book IN ('src0', 'src1'))"))
+@_query(_with(TOKENS, SCIENCE, then="SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT word FROM wc WHERE book IN ('src0', 'src1')) g WHERE g.word = sc.word)"))
 def stopword_antijoin(spark, sf_dir):
     words = _words(spark, sf_dir)
     lists = [words.where(F.col("book") == b).select("word").distinct() for b in GENERAL]
@@ -212,7 +215,7 @@ def deleted_words(spark, sf_dir):
 
 
 GENERAL_WORDS = "gw AS (SELECT * FROM wc WHERE book IN ('src0', 'src1'))"
-SUBJECT = "sw AS (SELECT * FROM wc WHERE book NOT IN ('src0', 'src1') AND word NOT IN (SELECT word FROM g_kept))"
+SUBJECT = "sw AS (SELECT * FROM wc WHERE book NOT IN ('src0', 'src1') AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT word FROM g_kept) k WHERE k.word = wc.word))"
 FAITHFUL = (TOKENS, GENERAL_WORDS, _groups_sql("gw", "g"), SUBJECT, _groups_sql("sw", "s"))
 
 
@@ -283,7 +286,7 @@ def cache_lookup(spark, sf_dir):
     return translation.cached(_popular(spark, sf_dir), _cache(spark, sf_dir)).select("category", "word", "cnt", "translation")
 
 
-@_query(_with(TOKENS, UNION, POPULAR, CACHE, then="SELECT category, word, cnt FROM pop WHERE word NOT IN (SELECT word FROM cache)"))
+@_query(_with(TOKENS, UNION, POPULAR, CACHE, then="SELECT category, word, cnt FROM pop WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.word = pop.word)"))
 def cache_misses(spark, sf_dir):
     return translation.missing(_popular(spark, sf_dir).select("category", "word", "cnt"), _cache(spark, sf_dir))
 
@@ -293,7 +296,7 @@ NEW = "nw AS (SELECT row_number() OVER (ORDER BY cnt DESC, word) AS seq, word, l
 
 @_query(_with(TOKENS, UNION, POPULAR, CACHE, NEW, f"""g AS (SELECT * FROM nw WHERE {VALID.format(t='translation', w='word')}),
 b AS (SELECT 2 * seq AS a, word, translation FROM g UNION ALL SELECT 2 * seq + 1, translation, word FROM g),
-f AS (SELECT word, arg_min(translation, a) AS translation FROM b GROUP BY word)""", then="SELECT word, translation FROM f WHERE word NOT IN (SELECT word FROM cache)"))
+f AS (SELECT word, arg_min(translation, a) AS translation FROM b GROUP BY word)""", then="SELECT word, translation FROM f WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.word = f.word)"))
 def cache_bidirectional(spark, sf_dir):
     words = ranked(_popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt")), [])
     new = words.select(F.col("rn").alias("seq"), "word", F.substring("word", 1, 3).alias("translation"))
@@ -301,7 +304,7 @@ def cache_bidirectional(spark, sf_dir):
 
 
 @_query(_with(TOKENS, UNION, POPULAR, """o AS (SELECT category, word, 0::BIGINT AS cnt, word || 'x' AS translation FROM gu WHERE length(word) = 5),
-n AS (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT * FROM n UNION ALL SELECT * FROM o WHERE (category, word) NOT IN (SELECT category, word FROM n)"))
+n AS (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.category = o.category AND n.word = o.word)"))
 def translations_upsert(spark, sf_dir):
     union = vocabulary.union_of_books(_words(spark, sf_dir))
     old = union.where(F.length("word") == 5).select("category", "word", F.lit(0).cast("long").alias("cnt"), F.concat("word", F.lit("x")).alias("translation"))
@@ -322,7 +325,7 @@ def word_lookup(spark, sf_dir):
 
 
 @_query(_with(TOKENS, UNION, POPULAR, CACHE, f"""c AS (SELECT category, word, translation FROM pop JOIN cache USING (word) WHERE {VALID.format(t='translation', w='word')}),
-n AS (SELECT category, word, left(word, 3) AS translation FROM pop WHERE word NOT IN (SELECT word FROM cache))""", then="SELECT * FROM c UNION ALL SELECT * FROM n"))
+n AS (SELECT category, word, left(word, 3) AS translation FROM pop WHERE NOT EXISTS (SELECT 1 FROM cache k WHERE k.word = pop.word))""", then="SELECT * FROM c UNION ALL SELECT * FROM n"))
 def merged_translations(spark, sf_dir):
     popular, cache = _popular(spark, sf_dir), _cache(spark, sf_dir)
     new = translation.missing(popular, cache).select("category", "word", F.substring("word", 1, 3).alias("translation"))
@@ -416,3 +419,80 @@ def depth2_files(spark, sf_dir):
 @_query("SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM (SELECT DISTINCT lang AS src, source AS dst FROM documents)) WHERE k <= 8")
 def callgraph_prune(spark, sf_dir):
     return pruned(_documents(spark, sf_dir).select(F.col("lang").alias("src"), F.col("source").alias("dst")).distinct())
+
+
+# ---- line breaks, tables, refresh, call graphs ----
+
+BROKEN_LINES = [
+    ("od-\nnako", "odnako"), ("foo - bar", "foobar"), ("ab -\ncd-\nef", "abcdef"), ("cat\n  dog", "catdog"), ("abcde\n\nfghij", "abcdefghij"),
+    ("word .\n  next", "word . next"), ("afterwards\nbefore", "afterwards before"), ("cat  \n  dog", "catdog"), ("x\n\n  odnako", "xodnako"),
+    ("слово\n  да", "словода"), ("wxabcdefgh  \n  abcdefghijkl", "wxabcdefgh  abcdefghijkl"), ("\n  odnako tut", "odnako tut"),
+    ("abcdefgh\n  abcdefghijk", "abcdefgh abcdefghijk"), ("abcdefghij-\nabcdefghijklmno", "abcdefghijabcdefghijklmno"),
+    ("abcdefghij-\nabcdefghijklmnopq", "abcdefghijabcdefghijklmnopq"), ("end.\n next", "end. next"), ("end.\nnext", "end.\nnext"),
+    ("state-of-the-art", "state-of-the-art"), ("éé-\nab", "éé-\nab"), ("12-\nab", "12-\nab"),
+]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{want}')" for i, (_, want) in enumerate(BROKEN_LINES)) + ") t(line_id, mended)")
+def broken_lines(spark, sf_dir):
+    lines = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(BROKEN_LINES)], "line_id long, text string")
+    return lines.select("line_id", X.mend_breaks(F.col("text")).alias("mended"))
+
+
+@_query(_with(TOKENS, then="SELECT category, book, word, cnt FROM wc WHERE book NOT IN ('src0', 'src1') UNION ALL SELECT category, book, word, cnt FROM wc WHERE book IN ('src0', 'src1')"))
+def table_words(spark, sf_dir):
+    """Words written to a table of the engine's own in two batches, each row of the first twice, and read back."""
+    name = "lexmill_table_words"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.create(spark, name, "book_words", "category")
+    words = _words(spark, sf_dir)
+    general = F.col("book").isin(*GENERAL)
+    tables.append(words.where(~general).unionByName(words.where(~general)), name)
+    tables.append(words.where(general), name)
+    return spark.table(name).select("category", "book", "word", "cnt")
+
+
+@_query(_with(TOKENS, UNION, then="SELECT * FROM gu"))
+def refreshed_union(spark, sf_dir):
+    """The union of all books but those whose number is over 14, then refreshed with them."""
+    books, words = _books(spark, sf_dir), _words(spark, sf_dir)
+    late = F.col("book").rlike("1[5-9]$")
+    old = {"global_union": vocabulary.union_of_books(words.where(~late)), "word_intersection": vocabulary.intersection_of_books(words.where(~late), books.where(~late))}
+    return pipeline.refreshed(old, words, books, books.where(late))["global_union"]
+
+
+@_query(_with(TOKENS, UNION, then="SELECT category, word, cnt FROM gu ORDER BY category, cnt DESC, word"))
+def union_in_order(spark, sf_dir):
+    return in_order(vocabulary.union_of_books(_words(spark, sf_dir)), "category")
+
+
+@_query(_with(TOKENS, UNION, CACHE, then="SELECT category, word, cnt, translation FROM gu LEFT JOIN cache USING (word) WHERE word = 'with' ORDER BY category, cnt, translation LIMIT 1"))
+def word_lookup_first(spark, sf_dir):
+    union = vocabulary.union_of_books(_words(spark, sf_dir))
+    return translation.first_translation(union, _cache(spark, sf_dir), "with").select("category", "word", "cnt", "translation")
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """Python sources made of the table nation: a module for each region, functions whose names recur within and across modules."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    name = lambda k: F.concat(F.lit("f"), (k % 10).cast("string"))
+    code = F.concat(F.lit("def "), name(F.col("n_nationkey")), F.lit("(self, a, b):\n    \"\"\"What it does.\n\n    More.\"\"\"\n    return other."), name(7 * F.col("n_nationkey")), F.lit("(a, print(b))\n"))
+    each = nation.select(F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("module"), "n_nationkey", code.alias("code"))
+    return each.groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "code"))), lambda x: x["code"]), "\n").alias("source"))
+
+
+CALLS = """fn AS (SELECT 'm' || n_regionkey AS module, 'f' || (n_nationkey % 10) AS name, 'f' || (7 * n_nationkey % 10) AS callee FROM nation),
+ed AS (SELECT DISTINCT a.module || '.' || a.name AS src, b.module || '.' || b.name AS dst, a.module <> b.module AS crosses FROM fn a JOIN fn b ON a.callee = b.name)"""
+
+
+@_query(f"WITH {CALLS} SELECT * FROM ed")
+def callgraph_edges(spark, sf_dir):
+    return callgraph.edges(callgraph.functions(_sources(spark, sf_dir)))
+
+
+@_query(f"""WITH {CALLS} SELECT 0 AS part, 'digraph calls {{' AS line UNION ALL SELECT 3, '}}'
+UNION ALL SELECT DISTINCT 1, '"' || module || '.' || name || '" [label="' || name || '(a, b)\\nWhat it does.", group="' || module || '"];' FROM fn
+UNION ALL SELECT 2, '"' || src || '" -> "' || dst || '"' || CASE WHEN crosses THEN ' [penwidth=1.4]' ELSE '' END || ';' FROM ed""")
+def callgraph_dot(spark, sf_dir):
+    found = callgraph.functions(_sources(spark, sf_dir))
+    return callgraph.dot(found, callgraph.edges(found))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from lexmill.operators import popularity, similarity, vocabulary
+from lexmill.operators.joins import join_same
 from lexmill.schemas import DEFAULT, Settings
 
 
@@ -37,3 +38,15 @@ def run(books: DataFrame, general: list[Column], settings: Settings = DEFAULT, m
         "word_intersection": vocabulary.intersection_of_books(book_words, subject),
         "popular_words": popularity.popular_words(union, settings),
     }
+
+
+def refreshed(old: dict[str, DataFrame], book_words: DataFrame, books: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
+    """The aggregates of `old` after the books in done (category, ...) were added to book_words and books.
+
+    Those of categories in done are made anew from the tables of books; the others stay.
+    """
+    touched = done.select("category").distinct()
+    mine = lambda df: join_same(df, touched, ["category"], "left_semi")
+    rest = lambda df: join_same(df, touched, ["category"], "left_anti")
+    now = {"global_union": vocabulary.union_of_books(mine(book_words)), "word_intersection": vocabulary.intersection_of_books(mine(book_words), mine(books))}
+    return {name: rest(old[name]).unionByName(now[name]) for name in now}

@@ -14,6 +14,15 @@ from lexmill.functions import text as X
 Extractor = Callable[[bytes], str]
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """A table read from fewer pieces than there are cores, dealt out evenly over them; others stay as they are.
+
+    One file of one row group is otherwise read, split into words and counted by a single task.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def relative_path(path: Column, root: str) -> Column:
     return F.substring_index(path, root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
 
