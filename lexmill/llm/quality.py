@@ -58,6 +58,27 @@ def places_of(feature: bytes) -> list[int]:
     return [zlib.crc32(x) & (PLACES - 1) for x in parts]
 
 
+def loss_and_gradient(p: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, np.ndarray]:
+    """Of the mean -log P(grade), by p: weights, first threshold, logs of the steps between thresholds.
+
+    Document rows[i] has values[i] of the feature cols[i]; y has the documents' grades and mass what each weighs.
+    """
+    n = len(p) - (GRADES - 1)
+    w, steps_up, i = p[:n], np.exp(p[n + 1 :]), np.arange(len(y))
+    thresholds = p[n] + np.concatenate([[0], np.cumsum(steps_up)])
+    score = np.bincount(rows, w[cols] * values, len(y))
+    below = 1 / (1 + np.exp(np.clip(score[:, None] - thresholds[None], -60, 60)))  # P(grade <= k)
+    edges = np.concatenate([np.zeros((len(y), 1)), below, np.ones((len(y), 1))], 1)
+    prob = np.maximum(edges[i, y + 1] - edges[i, y], 1e-12)
+    slope = edges * (1 - edges)
+    # d(-log prob) by the threshold above and the one below the grade
+    up, down = -slope[i, y + 1] / prob * mass, slope[i, y] / prob * mass
+    by_threshold = np.array([up[y == k].sum() + down[y == k + 1].sum() for k in range(GRADES - 1)])
+    by_score = -(up + down)
+    g = np.concatenate([np.bincount(cols, by_score[rows] * values, n), [by_threshold.sum()], by_threshold[::-1].cumsum()[::-1][1:] * steps_up])
+    return float(-(mass * np.log(prob)).sum()), g
+
+
 class CumulativeLink:
     def __init__(self, places: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
         self.weights = dict(zip(places.tolist(), weights.tolist(), strict=True))
@@ -77,7 +98,6 @@ class CumulativeLink:
         places = np.flatnonzero(count >= least).astype(np.int32)
         del count
         y = np.array(grades, np.int64)
-        levels = np.arange(GRADES - 1)
         start = np.array([-1.0, 1.0])
         if not len(y) or not len(places):
             return CumulativeLink(places[:0], np.empty(0), np.array([-math.log(2), math.log(2)]))
@@ -96,19 +116,7 @@ class CumulativeLink:
         p = np.concatenate([np.zeros(len(places)), start[:1], np.log(np.diff(start))])
         one, two, n = np.zeros_like(p), np.zeros_like(p), len(places)
         for t in range(1, steps + 1):
-            w, steps_up = p[:n], np.exp(p[n + 1 :])
-            thresholds = p[n] + np.concatenate([[0], np.cumsum(steps_up)])
-            score = np.bincount(rows, w[cols] * values, len(y))
-            below = 1 / (1 + np.exp(np.clip(score[:, None] - thresholds[None], -60, 60)))  # P(grade <= k)
-            edges = np.concatenate([np.zeros((len(y), 1)), below, np.ones((len(y), 1))], 1)
-            i = np.arange(len(y))
-            prob = np.maximum(edges[i, y + 1] - edges[i, y], 1e-12)
-            slope = edges * (1 - edges)
-            # d(-log prob) by the threshold above and the one below the grade
-            up, down = -slope[i, y + 1] / prob * mass, slope[i, y] / prob * mass
-            by_threshold = np.array([up[y == k].sum() + down[y == k + 1].sum() for k in levels])
-            by_score = -(up + down)
-            g = np.concatenate([np.bincount(cols, by_score[rows] * values, n), [by_threshold.sum()], by_threshold[::-1].cumsum()[::-1][1:] * steps_up])
+            _, g = loss_and_gradient(p, rows, cols, values, y, mass)
             one += 0.1 * (g - one)
             two += 0.001 * (g * g - two)
             now = rate * (1 - 0.9 * t / steps)
