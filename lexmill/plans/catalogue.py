@@ -475,13 +475,13 @@ def word_lookup_first(spark, sf_dir):
 def _sources(spark, sf_dir) -> DataFrame:
     """Python sources made of the table nation: a module for each region, functions whose names recur within and across modules."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    name = lambda k: F.concat(F.lit("f"), (k % 10).cast("string"))
-    code = F.concat(F.lit("def "), name(F.col("n_nationkey")), F.lit("(self, a, b):\n    \"\"\"What it does.\n\n    More.\"\"\"\n    return other."), name(7 * F.col("n_nationkey")), F.lit("(a, print(b))\n"))
+    name = lambda k: F.concat(F.lit("f"), (k % 7).cast("string"))
+    code = F.concat(F.lit("def "), name(F.col("n_nationkey")), F.lit("(self, a, b):\n    \"\"\"What it does.\n\n    More.\"\"\"\n    return other."), name(3 * F.col("n_nationkey")), F.lit("(a, print(b))\n"))
     each = nation.select(F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("module"), "n_nationkey", code.alias("code"))
     return each.groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "code"))), lambda x: x["code"]), "\n").alias("source"))
 
 
-CALLS = """fn AS (SELECT 'm' || n_regionkey AS module, 'f' || (n_nationkey % 10) AS name, 'f' || (7 * n_nationkey % 10) AS callee FROM nation),
+CALLS = """fn AS (SELECT 'm' || n_regionkey AS module, 'f' || (n_nationkey % 7) AS name, 'f' || (3 * n_nationkey % 7) AS callee FROM nation),
 ed AS (SELECT DISTINCT a.module || '.' || a.name AS src, b.module || '.' || b.name AS dst, a.module <> b.module AS crosses FROM fn a JOIN fn b ON a.callee = b.name)"""
 
 
