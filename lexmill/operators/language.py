@@ -29,7 +29,8 @@ FREQUENT = {
 def by_frequent_words(text: Column, frequent: dict[str, str] = FREQUENT) -> Column:
     """The language most of whose frequent words a text has (ties: the first in the alphabet), null if it has none."""
     words = F.regexp_extract_all(F.lower(text), F.lit(X.WORD), F.lit(0))
-    hits = F.array(*[F.struct((-F.size(F.filter(words, lambda w, own=own: w.isin(*own.split())))).alias("n"), F.lit(k).alias("language")) for k, own in sorted(frequent.items())])
+    hit = lambda own: -F.size(F.filter(words, lambda w: w.isin(*own.split())))
+    hits = F.array(*[F.struct(hit(own).alias("n"), F.lit(k).alias("language")) for k, own in sorted(frequent.items())])
     best = F.array_min(hits)
     return F.when(best["n"] < 0, best["language"])
 
