@@ -59,22 +59,28 @@ def row_key() -> Column:
 
 
 def _gram(words: Column, start: Column, k: int) -> Column:
-    return F.xxhash64(F.slice(words, start, k))
+    return F.xxhash64(*[F.get(words, start + j) for j in range(k)])
 
 
 def winnow(words: Column, n: int = N, k: int = K) -> Column:
-    """array<struct<pos int, key long>>: kept k-grams, pos from 0; empty if there are under n words."""
+    """array<struct<pos int, key long>>: kept k-grams, pos from 0; empty if there are under n words.
+
+    Elements are fetched one by one: slice() would copy them through collections.
+    """
     wide = n - k + 1
-    # order by the upper 32 bits of the hash, then by place, in one long
-    packed = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: _gram(words, i, k).bitwiseAND(F.lit(-(1 << 32))) + (i - 1))
-    least = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(p) - (wide - 1)), lambda j: F.array_min(F.slice(p, j, wide))))
+    third = wide // 3
+    # order by the upper 32 bits of the hash, then by place, in one long; the last k - 1 are not whole and in no window
+    packed = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, k)]).bitwiseAND(F.lit(-(1 << 32))) + i)
+    least_of_third = lambda p: F.transform(p, lambda x, i: F.least(x, *[F.get(p, i + j) for j in range(1, third)]))
+    starts = [*range(0, wide - third, third), wide - third]  # thirds that cover a window
+    least = lambda m: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(m) - n), lambda i: F.least(*[F.get(m, i + j) for j in starts])))
     place = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    kept = F.transform(let(packed, least), lambda x: F.struct(place(x).alias("pos"), _gram(words, place(x) + 1, k).alias("key")))
+    kept = F.transform(let(let(packed, least_of_third), least), lambda x: F.struct(place(x).alias("pos"), _gram(words, place(x), k).alias("key")))
     return F.when(F.size(words) >= n, kept).otherwise(F.array().cast(_PRINTS))
 
 
 def _all_grams(words: Column, k: int) -> Column:
-    every = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.struct(i.alias("pos"), _gram(words, i + 1, k).alias("key")))
+    every = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.struct(i.alias("pos"), _gram(words, i, k).alias("key")))
     return F.when(F.size(words) >= k, every).otherwise(F.array().cast(_PRINTS))
 
 
@@ -121,7 +127,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = cut(items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.size("words").alias("n"), "words"), "bench-items")
     short = sorted(r["k"] for r in items.where(F.col("n") < N).select(F.least("n", F.lit(K)).alias("k")).distinct().collect())  # K numbers at most
     lowered = lambda w: F.transform(w, _low)
-    lead = lambda w: F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.slice(w, 1, K)).alias("key")))
+    lead = lambda w: F.array(F.struct(F.lit(0).alias("pos"), _gram(w, F.lit(0), K).alias("key")))
     kept = let(lowered(F.col("words")), lambda w: F.when(F.size(w) >= N, winnow(w)).otherwise(lead(w)))
     with_around = let(F.col("words"), lambda w: F.transform(kept, lambda f: F.struct(f["pos"].alias("pos"), f["key"].alias("key"), _around(w, f["pos"]).alias("around"))))
     prints = items.select("item", "item_id", "n", with_around.alias("f")).select("item", "item_id", "n", F.explode_outer("f").alias("f"))
