@@ -120,7 +120,7 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
     if "n_chars" in docs.columns:
         part = part.withField("n_chars", F.length(F.array_join(words, " ")).cast(docs.schema["n_chars"].dataType))
     copies = F.concat(F.array_repeat("row", times), F.when(F.col("taken") % F.col("size") > 0, F.array(part)).otherwise(F.array_repeat("row", 0)))
-    return mix_sources(docs, rows=True, **how).where("taken > 0").select(F.explode(copies).alias("row")).select("row.*")
+    return mix_sources(docs, rows=True, **how).where("taken > 0").select(F.explode_outer(copies).alias("row")).select("row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
