@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.schemas import DEFAULT, Settings
@@ -44,6 +44,15 @@ def words_of(text: Column, settings: Settings = DEFAULT) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
+def each(table: DataFrame, *kept: str, **array: Column) -> DataFrame:
+    """kept, and a row for each element that isn't null of one array, named by its keyword.
+
+    explode would first filter by the array's size, and so make the array twice; the outer form does not.
+    """
+    ((name, values),) = array.items()
+    return table.select(*kept, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda p: p.rlike(r"(?U)\S"))
 

@@ -13,7 +13,7 @@ from lexmill.schemas import DEFAULT, Settings
 def word_counts(books: DataFrame, settings: Settings = DEFAULT, mend: bool = False) -> DataFrame:
     """(category, book, word, cnt) of books (category, book, text); mend: repair broken lines first."""
     text = X.mend_breaks(F.lower("text")) if mend else F.col("text")
-    words = books.select("category", "book", F.explode(X.words_of(text, settings)).alias("word"))
+    words = X.each(books, "category", "book", word=X.words_of(text, settings))
     return words.groupBy("category", "book", "word").agg(F.count("*").alias("cnt"))
 
 

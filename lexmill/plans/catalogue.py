@@ -113,12 +113,12 @@ def _with(*parts: str, then: str) -> str:
 
 @_query(r"SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '\S'))) AS paragraph FROM documents")
 def paragraph_split(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.explode(X.paragraphs(F.col("text"))).alias("paragraph"))
+    return X.each(_documents(spark, sf_dir), "doc_id", paragraph=X.paragraphs(F.col("text")))
 
 
 @_query(_with(TOKENS, then="SELECT doc_id, word FROM fit"))
 def tokenize_filter(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.explode(X.words_of(F.col("text"))).alias("word"))
+    return X.each(_documents(spark, sf_dir), "doc_id", word=X.words_of(F.col("text")))
 
 
 @_query("SELECT doc_id, translate(text, chr(173) || chr(8203) || chr(8209), '') AS clean FROM documents")
@@ -181,7 +181,7 @@ def lemma_dictionary(spark, sf_dir):
 
 @_query(_with(TOKENS, then=r"SELECT category, book, count(*)::BIGINT AS occurrences, count(*) FILTER (regexp_full_match(word, '\p{L}+'))::BIGINT AS letters_only FROM tok GROUP BY ALL"))
 def letters_only_tokens(spark, sf_dir):
-    tokens = _books(spark, sf_dir).select("category", "book", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0))).alias("word"))
+    tokens = X.each(_books(spark, sf_dir), "category", "book", word=F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0)))
     return tokens.groupBy("category", "book").agg(F.count("*").alias("occurrences"), F.count_if(F.col("word").rlike(r"^\p{L}+$")).alias("letters_only"))
 
 
