@@ -138,15 +138,19 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return (each.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-def encode_shard(doc_ids: list[int | None], ids: list[bytes], bits: int, block: int = BLOCK) -> bytes:
-    every = np.frombuffer(b"".join(ids), "<u4")
-    ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.uint64)
+def shard_parts(doc_ids: list[int | None], every: np.ndarray, counts: list[int], bits: int, block: int = BLOCK) -> list[bytes]:
+    """The bytes of a shard file, in pieces; every: the ids of all documents, counts: how many each has."""
+    ends = np.cumsum(counts, dtype=np.uint64)
     blocks = [pack(every[i : i + block], bits) for i in range(0, len(every), block)]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     names = np.array([x or 0 for x in doc_ids], "<i8")
     known = np.array([x is not None for x in doc_ids], np.uint8)
     head = struct.pack(HEAD, MAGIC, bits, block, len(blocks), 0, len(every), len(doc_ids))
-    return b"".join([head, offsets.tobytes(), names.tobytes(), known.tobytes(), ends.astype("<u8").tobytes(), *blocks])
+    return [head, offsets.tobytes(), names.tobytes(), known.tobytes(), ends.astype("<u8").tobytes(), *blocks]
+
+
+def encode_shard(doc_ids: list[int | None], ids: list[bytes], bits: int, block: int = BLOCK) -> bytes:
+    return b"".join(shard_parts(doc_ids, np.frombuffer(b"".join(ids), "<u4"), [len(x) // 4 for x in ids], bits, block))
 
 
 class Shard:
@@ -188,19 +192,24 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 def _writer(folder: str, path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, names, ids = PieceTokenizer(path), [], []
+        tokenizer, names, counts, ids = PieceTokenizer(path), [], [], bytearray()
         bits, end = max(1, math.ceil(math.log2(tokenizer.size))), np.array([END], "<u4").tobytes()
         for batch in batches:
             names += batch.column(0).to_pylist()
-            ids += [tokenizer.ids(x.as_py() or "") + end for x in batch.column(1)]
+            for x in batch.column(1):
+                before = len(ids)
+                ids += tokenizer.ids(x.as_py() or "")
+                ids += end
+                counts.append((len(ids) - before) // 4)
         if names:
             shard = TaskContext.get().partitionId()
             store, root = _store(folder)
             store.create_dir(root, recursive=True)
             name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(encode_shard(names, ids, bits))
-            row = {"shard": [shard], "file": [f"{folder}/{name}"], "docs": [len(names)], "ids": [sum(map(len, ids)) // 4]}
+                for part in shard_parts(names, np.frombuffer(ids, "<u4"), counts, bits):
+                    out.write(part)
+            row = {"shard": [shard], "file": [f"{folder}/{name}"], "docs": [len(names)], "ids": [sum(counts)]}
             yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     return write
