@@ -6,6 +6,7 @@ stand for the general ones, of which stop lists are made. Words reversed stand f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -442,8 +443,7 @@ def broken_lines(spark, sf_dir):
 @_query(_with(TOKENS, then="SELECT category, book, word, cnt FROM wc WHERE book NOT IN ('src0', 'src1') UNION ALL SELECT category, book, word, cnt FROM wc WHERE book IN ('src0', 'src1')"))
 def table_words(spark, sf_dir):
     """Words written to a table of the engine's own in two batches, each row of the first twice, and read back."""
-    name = "lexmill_table_words"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    name = f"lexmill_table_words_{uuid.uuid4().hex}"  # a warehouse may still hold what an earlier session wrote
     tables.create(spark, name, "book_words", "category")
     words = _words(spark, sf_dir)
     general = F.col("book").isin(*GENERAL)
