@@ -46,7 +46,7 @@ from lexmill.llm.common import cut, new_path, table
 
 MAGIC, BLOCK, END = b"LEXPACK1", 4096, 1
 HEAD = "<8s4I2Q"
-REMEMBER = 800_000
+REMEMBER = 300_000
 #: Neither letters nor digits nor white space.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -58,9 +58,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class PieceTokenizer:
-    """Ids of texts as little-endian uint32 bytes, from a tokenizers file."""
+    """Ids of texts as little-endian uint32 bytes, from a tokenizers file; if narrow, and the vocabulary allows it, as uint16."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, narrow: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,6 +68,8 @@ class PieceTokenizer:
         vocabulary = self.inner.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.kind = "<u2" if narrow and len(self.ends) <= 1 << 16 else "<u4"
+        self.code, self.width = {"<u2": "H", "<u4": "I"}[self.kind], int(self.kind[2])
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -90,15 +92,15 @@ class PieceTokenizer:
         return out
 
     def _alone(self, piece: str) -> bytes:
-        return array("I", self.inner.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+        return array(self.code, self.inner.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each all letters: encoded as one text, cut after tokens that end a word."""
-        every = array("I", self.inner.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
-        last = np.flatnonzero(self.ends[np.frombuffer(every, np.uint32)]) + 1 if words else []
+        every = array(self.code, self.inner.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        last = np.flatnonzero(self.ends[np.frombuffer(every, self.kind)]) + 1 if words else []
         if len(last) != len(words):  # a letter that the tokenizer does not take for one
             return [self._alone(x) for x in words]
-        data, cuts = every.tobytes(), [0, *(4 * np.asarray(last)).tolist()]
+        data, cuts = every.tobytes(), [0, *(self.width * np.asarray(last)).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
@@ -141,7 +143,10 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
 def shard_parts(doc_ids: list[int | None], every: np.ndarray, counts: list[int], bits: int, block: int = BLOCK) -> list[bytes]:
     """The bytes of a shard file, in pieces; every: the ids of all documents, counts: how many each has."""
     ends = np.cumsum(counts, dtype=np.uint64)
-    blocks = [pack(every[i : i + block], bits) for i in range(0, len(every), block)]
+    if every.dtype == np.uint16 and bits == 16:  # packed already: the blocks are views
+        blocks = [every[i : i + block].astype("<u2", copy=False).view(np.uint8).data for i in range(0, len(every), block)]
+    else:
+        blocks = [pack(every[i : i + block], bits) for i in range(0, len(every), block)]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     names = np.array([x or 0 for x in doc_ids], "<i8")
     known = np.array([x is not None for x in doc_ids], np.uint8)
@@ -192,22 +197,23 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 def _writer(folder: str, path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, names, counts, ids = PieceTokenizer(path), [], [], bytearray()
-        bits, end = max(1, math.ceil(math.log2(tokenizer.size))), np.array([END], "<u4").tobytes()
+        # the ids of a whole shard are held as narrow as they can be
+        tokenizer, names, counts, ids = PieceTokenizer(path, narrow=True), [], [], bytearray()
+        bits, end = max(1, math.ceil(math.log2(tokenizer.size))), np.array([END], tokenizer.kind).tobytes()
         for batch in batches:
             names += batch.column(0).to_pylist()
             for x in batch.column(1):
                 before = len(ids)
                 ids += tokenizer.ids(x.as_py() or "")
                 ids += end
-                counts.append((len(ids) - before) // 4)
+                counts.append((len(ids) - before) // tokenizer.width)
         if names:
             shard = TaskContext.get().partitionId()
             store, root = _store(folder)
             store.create_dir(root, recursive=True)
             name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
             with store.open_output_stream(f"{root}/{name}") as out:
-                for part in shard_parts(names, np.frombuffer(ids, "<u4"), counts, bits):
+                for part in shard_parts(names, np.frombuffer(ids, tokenizer.kind), counts, bits):
                     out.write(part)
             row = {"shard": [shard], "file": [f"{folder}/{name}"], "docs": [len(names)], "ids": [sum(counts)]}
             yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
