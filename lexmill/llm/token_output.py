@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, new_path, table
+from lexmill.llm.common import cut, new_path, small_batches, table
 
 MAGIC, BLOCK, END = b"LEXPACK1", 4096, 1
 HEAD = "<8s4I2Q"
@@ -113,7 +113,8 @@ class PieceTokenizer:
             core = p.rstrip(MARKS)
             if core and len(core) < len(p) and not (core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "\u0130"):
                 core = p  # other signs, such as combining ones, form one token with the marks
-            parts.append((p, core.lower() if core.isascii() else core, p[len(core) :]))
+            low = core.lower() if core.isascii() else core
+            parts.append((p, p if low == p else low, p[len(core) :]))  # one string for both memories where it is the same
         new = list({x for _, core, marks in parts for x in (core, marks) if x not in cores})
         found: dict[str, bytes] = {}
         words = [x for x in new if x.isalpha()]
@@ -226,7 +227,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, shard_bytes: int
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(max(1, math.ceil(size / shard_bytes)), "doc_id").sortWithinPartitions("doc_id")
-    made = cut(rows.mapInArrow(_writer(folder, tokenizer), "shard long, file string, docs long, ids long"), "token-manifest")
+    # else a shard's whole text is one batch, held beside its ids
+    with small_batches(docs.sparkSession):
+        made = cut(rows.mapInArrow(_writer(folder, tokenizer), "shard long, file string, docs long, ids long"), "token-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return made.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
