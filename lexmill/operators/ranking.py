@@ -7,11 +7,12 @@ however large, meets in one task, and results are those of row_number() and sum(
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.operators.joins import join_same
+from lexmill.sources.scratch import cut
 
 
 def ranked(words: DataFrame, keys: list[str], totals: bool = False) -> DataFrame:
@@ -38,6 +39,23 @@ def ranked(words: DataFrame, keys: list[str], totals: bool = False) -> DataFrame
     return out.drop("_head", "_before")
 
 
+def placed(rows: DataFrame, *order: Column | str, name: str = "placed") -> DataFrame:
+    """rows with `place`: 0, 1, 2, ... in the given order, whatever their number.
+
+    Rows are dealt out by ranges of the order and sorted in their partitions; a partition's offset is the number of rows
+    before it, a table with a row for each partition. Rows equal in the whole order share a range, so it should end in something
+    that tells rows apart. The order is looked at twice, so rows are best a table.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the partition above bit 33 and the row's number in it below; once written, both stay
+    table = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftrightunsigned("_at", 33)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_in")).select("_part", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return table.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*rows.columns, (F.col("_before") + inside).alias("place"))
+
+
 def in_order(words: DataFrame, *keys: str) -> DataFrame:
     """words sorted for output: by keys, falling count and word."""
     return words.orderBy(*keys, F.desc("cnt"), "word")
