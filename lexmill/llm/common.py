@@ -1,18 +1,16 @@
-"""What the training-data operators share: tables, shared scratch space, `let`, connected components."""
+"""What the training-data operators share: tables, `let`, small batches; scratch tables and connected components are the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.graphs import connected_components  # noqa: F401
 from lexmill.sources.files import spread
-
-_LOCAL_SCRATCH: list[str] = []
+from lexmill.sources.scratch import cut, drop_table, new_path, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,32 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(found) if name in ("documents", "pages") else found
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, as the cluster names it.
-
-    Only a local master may go without that setting; it then gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="lexmill-"))
-    return _LOCAL_SCRATCH[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Arrow's batches go by this setting of the session, in bytes.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -65,15 +37,6 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
         spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        if "/lexmill-" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often the body refers to it."""
     return F.transform(F.array(value), body)[0]
@@ -83,38 +46,3 @@ def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; the plain lower() is the same for text that is all ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) > F.char_length(text), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
-
-
-#: From this many edges on, what a round's edges are joined to is a table of its own.
-EDGES_IN_ONE_TASK = 1_000_000
-
-
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b); component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds over tables in the shared folder. Every round
-    maps edges to edges, so no group is gathered: the neighbours of a hub meet only in a minimum,
-    which is partly computed before the shuffle, and in a join. Where there are edges enough to fill a task, the minima are
-    written first, so that both sides of the join are plain shuffles and AQE may split the hub's.
-    """
-    pair = lambda u, v: [u.cast("long").alias("u"), v.cast("long").alias("v")]
-    stars = cut(edges.where("a <> b").select(*pair(F.greatest("a", "b"), F.least("a", "b"))).distinct(), f"{name}-0")
-    count = lambda: tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    mark = count()
-    for i in range(1, max_rounds + 1):
-        settled = (lambda df, k: cut(df, f"{name}-{k}-{i}")) if mark[0] >= EDGES_IN_ONE_TASK else (lambda df, k: df)
-        # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
-        large = settled(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "between")
-        # small star: u and its smaller neighbours go to the smallest of them
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = cut(small.select("e.u", "e.v").where("u <> v").distinct(), f"{name}-{i}")
-        drop_table(stars)
-        stars, before = new, mark
-        mark = count()
-        if mark == before:
-            roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
