@@ -96,15 +96,12 @@ def importance_sample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: i
     count = F.greatest("n_features", F.lit(1))
     weight = F.call_function("div", F.col("gain") - F.pmod(F.col("gain"), count), count).cast("long")  # whole numbers: no rounding but down
     scored = sums.select("uid", "doc_id", "n_words", "n_features", weight.alias("weight"), (weight + noise(F.col("doc_id"), seed)).alias("score"))
-    scored = cut(scored, "resample-scores")
-
-    enough = scored.where(F.col("n_words") >= least_words)
-    draw = enough.count() * percent // 100
-    ranks = placed(enough, F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "uid", name="resample-order")
+    # those that may be drawn come first
+    draw = mine.where(F.col("n_words") >= least_words).count() * percent // 100
+    ranks = placed(scored, F.desc(F.col("n_words") >= least_words), F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "uid", name="resample-order")
     ranks = ranks.withColumn("rank", F.when(F.col("place") < draw, F.col("place") + 1))
-    both = ranks.drop("place").unionByName(scored.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long")))
     out = ["doc_id", "n_features", "weight", "score", "rank"]
-    return both.join(mine.select("uid", "row"), "uid").select(*out, "row") if rows else both.select(*out)
+    return ranks.join(mine.select("uid", "row"), "uid").select(*out, "row") if rows else ranks.select(*out)
 
 
 def resampled(docs: DataFrame, target: DataFrame, **how) -> DataFrame:

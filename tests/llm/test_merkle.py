@@ -1,0 +1,111 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.llm import merkle as M
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, hash string, tree int, idx string"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def enc(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def leaf_of(r, low=False):
+    text = r[1]
+    if low and text is not None:
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    return h(*map(enc, (r[0], r[3], r[2], r[4], text)))
+
+
+def climb(nodes):
+    """Levels from the leaves to the root."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][i : i + 8]) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def way(levels, i):
+    """Siblings before and after, level by level."""
+    out = []
+    for nodes in levels[:-1]:
+        run = nodes[i // 8 * 8 : i // 8 * 8 + 8]
+        out.append((run[: i % 8], run[i % 8 + 1 :]))
+        i //= 8
+    return out
+
+
+def plain(rows):
+    key = lambda r: (-(1 << 63) if r[0] is None else r[0], leaf_of(r))
+    groups = {g: sorted((r for r in rows if r[2] == g), key=key) for g in {r[2] for r in rows}}
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: climb([leaf_of(r) for r in groups[g]]) for g in order}
+    top = climb([trees[g][-1][0] for g in order])
+    out = []
+    for k, g in enumerate(order):
+        for i, r in enumerate(groups[g]):
+            steps = way(trees[g], i) + way(top, k)
+            end = leaf_of(r, r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0)
+            for left, right in steps:
+                end = h(*left, end, *right)
+            out.append((r[0], leaf_of(r), trees[g][-1][0], top[-1][0], h(*[x for left, right in steps for x in left + right]), end, end == top[-1][0]))
+    return sorted(out, key=repr)
+
+
+def op(spark, rows, tmp_path):
+    spark.createDataFrame([(*r, "x", 1, "y") for r in rows], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    return sorted(map(tuple, M.op11_merkle_manifest(spark, str(tmp_path)).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed,cell", [(0, 2048), (1, 10)])
+def test_against_plain_python(spark, monkeypatch, tmp_path, seed, cell):
+    monkeypatch.setattr(M, "CELL", cell)
+    monkeypatch.setattr(M.group_ranks, "__defaults__", (cell,))
+    monkeypatch.setattr(M, "CELLS_TO_BROADCAST", 10**6 if seed else 0)
+    monkeypatch.setattr(M, "GROUPS_TO_BROADCAST", 10**6 if seed else 0)
+    rng = random.Random(seed)
+    ids = [None, -(1 << 63), (1 << 63) - 1, -1, 0, 7, *[1 << k for k in range(50)], *range(100, 160)]
+    texts = [None, "", "abc", "ABC É", "été" * 50, "Z" * 2000]
+    lang = lambda: rng.choices(["en", None, "", "é", "Z"], [30, 4, 3, 2, 1])[0]
+    rows = [(rng.choice(ids), rng.choice(texts), lang(), rng.choice([None, "s", "ß"]), rng.choice([None, 3, -5])) for _ in range(120)]
+    rows += [(7, "the same", "en", None, 1)] * 75 + [(7, f"t{i}", "en", None, 1) for i in range(60)]
+    rows += [(i, f"x{i}", "alone" if i else "one", "s", i) for i in range(9)]
+    assert op(spark, rows, tmp_path) == plain(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(3, "A", "en", "s", 1), (3, "A", None, "s", 1)], [(i, None, None, None, None) for i in range(64)]])
+def test_small_tables(spark, tmp_path, rows):
+    assert op(spark, rows, tmp_path) == plain(rows)
+
+
+def test_nodes_and_proofs(spark):
+    rows = [(i, f"t{i}", "ab"[i % 2], "s", 1) for i in range(150)]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], DOCS)
+    made = M.manifest(df, "lang", "doc_id", M.digest(*[M.encoded(F.col(c)) for c in M.FIELDS]), doc_id=F.col("doc_id"))
+    levels = climb([leaf_of(r) for r in rows if r[2] == "b"])
+    nodes = {(r.level, int(r.digits, 8)): r.hash for r in made.nodes().where("tree = 1").collect()}
+    assert nodes == {(k, i): x for k, level in enumerate(levels) if k for i, x in enumerate(level)}
+    proofs = {r.doc_id: r for r in made.proofs().collect()}
+    assert len(proofs) == 150 and len(proofs[3].proof) == 64 * (7 + 7 + 1 + 1)  # 75 leaves, 10 nodes, 2 nodes; 2 groups
+    assert proofs[3].idx == 1 and proofs[3].n == 75
+    changed = spark.createDataFrame([(*(r if r[0] != 5 else (5, "t5 ", *r[2:])), "x", 1, "y") for r in rows], DOCS)
+    other = M.manifest(changed, "lang", "doc_id", M.digest(*[M.encoded(F.col(c)) for c in M.FIELDS]))
+    assert other.root != made.root
+    assert {r.subroot for r in other.groups.collect()} & {r.subroot for r in made.groups.collect()} == {climb([leaf_of(r) for r in rows if r[2] == "a"])[-1][0]}
+
+
+def test_cells_are_small_and_groups_not_gathered(spark, monkeypatch):
+    """20,000 rows with one key, told apart by the leaf: no cell is over the bound."""
+    rows = spark.range(20_000).select(F.lit(0).cast("long").alias("g"), F.lit(5).cast("long").alias("a"), (F.xxhash64("id") % (1 << 60)).alias("b"), "id")
+    got = M.group_ranks(rows, "g", ["a", "b", "id"], cell=100)
+    assert got.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()[:] == (0, 19_999, 20_000)
+    order = [r.b for r in got.orderBy("pos").select("b").collect()]
+    assert order == sorted(order)
