@@ -1,8 +1,16 @@
 """Words spelled alike within a book: pairs, connected groups, and merging into the most frequent word.
 
 Two words are alike if they share their first letters, differ in length by one at most, and are at
-most two edits and a quarter of the longer one's length apart. Groups can't cross a beginning, so they are found
-inside partitions by (category, book, beginning) in one pass, without rounds over the cluster.
+most two edits and a quarter of the longer one's length apart.
+
+Pairs. What follows the common beginning of the shorter word is cut into one segment more than there may be edits, k. Edits that
+number k at most leave a segment untouched, segment i say, with i edits before it and k - i after it; so it is in the longer word
+too, shifted by i at most from the start and by k - i from the end. The shorter word's segments are joined with those pieces of the longer one, and only
+words that share one are compared. Only a rest of k letters or fewer has an empty segment, which all words of that length and beginning share:
+they are as few as the letters there are.
+
+Groups can't cross a beginning. Those of one (category, book, beginning) are found inside a partition, in one pass; where there are
+too many pairs of one beginning for that, in rounds over the cluster.
 """
 
 from __future__ import annotations
@@ -13,8 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
+from lexmill.operators.graphs import connected_components
 from lexmill.operators.joins import join_same
 from lexmill.schemas import DEFAULT, Settings
+from lexmill.sources.scratch import cut
+
+#: Pairs of one (category, book, beginning) whose groups are found in one task's memory.
+PAIRS_IN_ONE_TASK = 1_000_000
 
 
 def alike(a: Column, b: Column, settings: Settings = DEFAULT) -> Column:
@@ -23,14 +37,64 @@ def alike(a: Column, b: Column, settings: Settings = DEFAULT) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= settings.length_gap) & (near >= 0) & (near <= settings.edit_share * longer)
 
 
-def similar_pairs(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(category, book, prefix, word_a, cnt_a, word_b, cnt_b), the more frequent (then alphabetically first) word as a."""
+def _edits(length: Column, settings: Settings) -> Column:
+    """How many edits a pair may be apart whose longer word has this length."""
+    return F.least(F.lit(settings.edits), F.floor(settings.edit_share * length).cast("int"))
+
+
+def _start(i: int, rest: Column, k: Column) -> Column:
+    """Where segment i of k + 1 begins in a rest of so many letters, from 0."""
+    return F.floor(i * rest / (k + 1)).cast("int")
+
+
+def _key(size: Column, k: Column, i: int, piece: Column) -> Column:
+    return F.concat(size.cast("string"), F.lit(":"), k.cast("string"), F.lit(f":{i}:"), piece)
+
+
+def _segments(settings: Settings) -> Column:
+    """array<string> of a word as the shorter one: its length, k, i and segment i, for every k that a longer one may need."""
+    size, rest = F.length("word"), F.length("word") - settings.prefix
+    out = []
+    for more in range(settings.length_gap + 1):
+        k = _edits(size + more, settings)
+        for i in range(settings.edits + 1):
+            a, b = _start(i, rest, k), _start(i + 1, rest, k)
+            out.append(F.when(k >= i, _key(size, k, i, F.substring("word", settings.prefix + 1 + a, b - a))))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def _pieces(settings: Settings) -> Column:
+    """The same of a word as the longer one, with the shorter one's length: the pieces that may be the shorter one's segments, shifted."""
+    size = F.length("word")
+    k = _edits(size, settings)
+    out = []
+    for more in range(settings.length_gap + 1):
+        rest = size - more - settings.prefix
+        for i in range(settings.edits + 1):
+            a, b = _start(i, rest, k), _start(i + 1, rest, k)
+            for shift in range(-i, i + 1):
+                fits = (k >= i) & (F.abs(F.lit(more - shift)) <= k - i) & (size - more >= settings.merge_from) & (a + shift >= 0) & (b + shift <= rest + more)
+                piece = F.substring("word", settings.prefix + 1 + a + shift, b - a)
+                out.append(F.when(fits, _key(size - more, k, i, piece)))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def met_pairs(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(category, book, prefix, word_a, cnt_a, word_b, cnt_b) of words that share a piece, some of them more than once; word_a is the shorter, then the first."""
     long_words = words.where(F.length("word") >= settings.merge_from).withColumn("prefix", F.substring("word", 1, settings.prefix))
     keys = ["category", "book", "prefix"]
-    a = long_words.select(*keys, F.col("word").alias("word_a"), F.col("cnt").alias("cnt_a"))
-    b = long_words.select(*keys, F.col("word").alias("word_b"), F.col("cnt").alias("cnt_b"))
+    side = lambda x, pieces: X.each(long_words.withColumns({f"word_{x}": F.col("word"), f"cnt_{x}": F.col("cnt")}), *keys, f"word_{x}", f"cnt_{x}", on=pieces)
+    met = join_same(side("a", _segments(settings)), side("b", _pieces(settings)), [*keys, "on"])
+    return met.where((F.length("word_a") < F.length("word_b")) | (F.col("word_a") < F.col("word_b"))).drop("on")
+
+
+def similar_pairs(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(category, book, prefix, word_a, cnt_a, word_b, cnt_b), the more frequent (then alphabetically first) word as a."""
+    found = met_pairs(words, settings).where(alike(F.col("word_a"), F.col("word_b"), settings)).distinct()
     first = (F.col("cnt_a") > F.col("cnt_b")) | ((F.col("cnt_a") == F.col("cnt_b")) & (F.col("word_a") < F.col("word_b")))
-    return join_same(a, b, keys).where(first & alike(F.col("word_a"), F.col("word_b"), settings))
+    a, b = F.struct(F.col("word_a").alias("word"), F.col("cnt_a").alias("cnt")), F.struct(F.col("word_b").alias("word"), F.col("cnt_b").alias("cnt"))
+    ordered = found.select("category", "book", "prefix", F.when(first, a).otherwise(b).alias("a"), F.when(first, b).otherwise(a).alias("b"))
+    return ordered.select("category", "book", "prefix", F.col("a.word").alias("word_a"), F.col("a.cnt").alias("cnt_a"), F.col("b.word").alias("word_b"), F.col("b.cnt").alias("cnt_b"))
 
 
 def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,10 +143,31 @@ def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(category, book, word, head_word): the connected groups of pairs, headed by their most frequent word."""
+def _over_the_cluster(pairs: DataFrame) -> DataFrame:
+    """components() of pairs of which one beginning may have any number: words get numbers, the numbers components, those their heads."""
+    keys = ["category", "book", "prefix"]
+    sides = [pairs.select(*keys, F.col(f"word_{x}").alias("word"), F.col(f"cnt_{x}").alias("cnt")) for x in "ab"]
+    words = cut(sides[0].unionByName(sides[1]).distinct().withColumn("_id", F.monotonically_increasing_id()), "similar-words")
+    edges = pairs.select(*keys, "word_a", "word_b")
+    for x in "ab":
+        edges = join_same(edges, words.select(*keys, F.col("word").alias(f"word_{x}"), F.col("_id").alias(x)), [*keys, f"word_{x}"])
+    groups = connected_components(edges.select("a", "b"), "similar")
+    named = words.join(groups, words["_id"] == groups["node"])
+    head = named.groupBy("component").agg(F.min_by("word", F.struct(-F.col("cnt"), "word")).alias("head_word"))
+    return named.join(head, "component").select("category", "book", "word", "head_word")
+
+
+def components(pairs: DataFrame, most: int = PAIRS_IN_ONE_TASK) -> DataFrame:
+    """(category, book, word, head_word): the connected groups of pairs, headed by their most frequent word.
+
+    Pairs are written once. A (category, book, beginning) with over `most` of them isn't gathered.
+    """
     keys = ["category", "book", "prefix"]
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_close, "category string, book string, word string, head_word string")
+    found = cut(pairs, "similar-pairs")
+    crowded = cut(found.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys), "similar-crowded")
+    few = found if (none := crowded.isEmpty()) else join_same(found, crowded, keys, "left_anti")
+    near = few.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_close, "category string, book string, word string, head_word string")
+    return near if none else near.unionByName(_over_the_cluster(join_same(found, crowded, keys, "left_semi")))
 
 
 def merge_targets(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

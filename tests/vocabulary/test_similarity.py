@@ -1,9 +1,11 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import similarity as S
+from lexmill.schemas import Settings
 
 WORDS = "category string, book string, word string, cnt long"
 
@@ -65,3 +67,50 @@ def test_against_plain_python(spark):
 
 def test_empty(spark):
     assert S.merge_targets(spark.createDataFrame([], WORDS)).count() == 0
+
+
+def close_words(rng, letters, n, longest=9):
+    stem = lambda: rng.choice(["abcd", "xyéz"]) + "".join(rng.choice(letters) for _ in range(rng.randint(0, longest)))
+    out = {stem() for _ in range(n)}
+    for w in list(out):  # and words up to two edits away
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(4, len(w))
+            w = rng.choice([w[:at] + rng.choice(letters) + w[at:], w[:at] + w[at + 1 :], w[:at] + rng.choice(letters) + w[at + 1 :]])
+        out.add(w)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("how", [{}, {"edits": 1}, {"edits": 3, "edit_share": 0.5, "length_gap": 2}, {"length_gap": 0}, {"edit_share": 1.0}])
+def test_pairs_against_all_pairs(spark, how):
+    rng = random.Random(str(how))
+    settings = Settings(**how)
+    names = close_words(rng, "abé", 80) + close_words(rng, "abcdefghijk", 80)
+    counts = {w: rng.randint(1, 3) for w in names}
+    rows = [("c", b, w, n) for b in (None, "x") for w, n in counts.items()] + [(None, "x", w, 1) for w in names[:20]]
+    got = S.similar_pairs(spark.createDataFrame(rows, WORDS), settings).collect()
+
+    def near(a, b):
+        return a[:4] == b[:4] and min(len(a), len(b)) >= 5 and abs(len(a) - len(b)) <= settings.length_gap and (d := lev(a, b)) <= settings.edits and d <= settings.edit_share * max(len(a), len(b))
+
+    want = [(c, b, w[:4], w, n, v, m) for c, b, w, n in rows for d, e, v, m in rows if (c, b) == (d, e) and (-n, w) < (-m, v) and near(w, v)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_few_pairs_meet(spark):
+    """Words of one beginning are not compared all with all."""
+    rng = random.Random(1)
+    names = sorted({"abcd" + "".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(1500)})
+    words = spark.createDataFrame([("c", "b", w, 1) for w in names], WORDS)
+    met = S.met_pairs(words)
+    assert met.count() < len(names) ** 2 / 2 / 50
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 5, 10**9])
+def test_groups_are_the_same_for_any_bound(spark, most):
+    rng = random.Random(9)
+    counts = {w: rng.randint(1, 4) for w in close_words(rng, "ab", 60)}
+    pairs = S.similar_pairs(spark.createDataFrame([("c", b, w, n) for b in (None, "b") for w, n in counts.items()], WORDS))
+    got = sorted(map(tuple, S.components(pairs, most).collect()), key=repr)
+    assert got == sorted(map(tuple, S.components(pairs).collect()), key=repr) and len(got) > 50
