@@ -11,39 +11,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-class _Functions(ast.NodeVisitor):
-    """Functions, and by bare name what is called right inside them; functions of one name in a file share their calls."""
-
-    def __init__(self) -> None:
-        self.inside: list[str] = []
-        self.found: list[tuple[str, list[str], str]] = []
-        self.calls: dict[str, list[str]] = {}
-
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        first_line = (ast.get_docstring(node) or "").strip().split("\n")[0]
-        names = [a.arg for a in node.args.args]
-        self.found.append((node.name, names[1:] if names[:1] == ["self"] else names, first_line))
-        self.inside.append(node.name)
-        self.generic_visit(node)
-        self.inside.pop()
-
-    def visit_Call(self, node: ast.Call) -> None:
-        name = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
-        if name and self.inside:
-            self.calls.setdefault(self.inside[-1], []).append(name)
-        self.generic_visit(node)
+def _owners(tree: ast.AST) -> dict[ast.AST, ast.FunctionDef | None]:
+    """The innermost function around every node of a tree, None at the top; parents come before their children."""
+    owner: dict[ast.AST, ast.FunctionDef | None] = {tree: None}
+    for node in ast.walk(tree):
+        inside = node if isinstance(node, ast.FunctionDef) else owner[node]
+        owner.update(dict.fromkeys(ast.iter_child_nodes(node), inside))
+    return owner
+
+
+def _rows(module: str, source: str | None) -> list[tuple]:
+    """The functions of a source that can be parsed; those of one name share their calls, which are known by bare name only."""
+    try:
+        owner = _owners(ast.parse(source or ""))
+    except SyntaxError:
+        return []
+    calls = [(f.name, getattr(n.func, "id", None) or getattr(n.func, "attr", None)) for n, f in owner.items() if isinstance(n, ast.Call) and f]
+    out = []
+    for f in owner:
+        if isinstance(f, ast.FunctionDef):
+            args = [a.arg for i, a in enumerate(f.args.args) if i or a.arg != "self"]
+            says = (ast.get_docstring(f) or "").strip().partition("\n")[0]
+            out.append((module, f.name, args, says, [callee for caller, callee in calls if caller == f.name and callee]))
+    return out
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = []
-        for module, source in frame.itertuples(index=False, name=None):
-            visitor = _Functions()
-            try:
-                visitor.visit(ast.parse(source or ""))
-            except SyntaxError:
-                continue
-            rows += [(module, name, args, doc, visitor.calls.get(name, [])) for name, args, doc in visitor.found]
+        rows = [r for module, source in frame.itertuples(index=False, name=None) for r in _rows(module, source)]
         yield pd.DataFrame(rows, columns=["module", "name", "args", "doc", "calls"])
 
 

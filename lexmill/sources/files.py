@@ -23,8 +23,19 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
 
 
-def relative_path(path: Column, root: str) -> Column:
-    return F.substring_index(path, root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+def relative_path(spark: SparkSession, root: str) -> Column:
+    """A file's path below root, decoded, of files read from root; root is a folder of any file system, not a pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    # a plus is itself in a path, but a blank to url_decode
+    file = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    return F.substring(file, F.lit(len(top) + 2), F.length(file))
+
+
+def text_files(raw: DataFrame, root: str) -> DataFrame:
+    """(book_path, category, book, text) of whole text files read from root, batch or stream: those with .txt in their path."""
+    files = raw.select(relative_path(raw.sparkSession, root).alias("book_path"), F.col("value").alias("text"))
+    return named(files.where(F.col("book_path").contains(".txt")))
 
 
 def named(files: DataFrame) -> DataFrame:
@@ -35,9 +46,7 @@ def named(files: DataFrame) -> DataFrame:
 
 def text_books(spark: SparkSession, root: str) -> DataFrame:
     """Books under root/category/file.txt, one row each."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    files = raw.select(F.url_decode(relative_path(F.col("_metadata.file_path"), root)).alias("book_path"), F.col("value").alias("text"))
-    return named(files.where(F.col("book_path").contains(".txt")))
+    return text_files(spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True), root)
 
 
 def table_books(documents: DataFrame) -> DataFrame:
@@ -53,8 +62,11 @@ def pdf_books(spark: SparkSession, root: str, extractor: Extractor, done: DataFr
             yield pd.DataFrame({"book_path": frame["book_path"], "text": [extractor(bytes(x)) for x in frame["content"]]})
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(root)
-    files = raw.where(~F.col("path").contains("/txt/")).select(relative_path(F.col("path"), root).alias("book_path"), "content")
-    files = files.withColumn("book_path", F.concat(F.substring_index("book_path", ".", 1), F.lit(".txt")))
+    at = raw.where(~F.col("path").contains("/txt/")).select(relative_path(spark, root).alias("at"), "content")
+    # the file's name ends at its first dot; folders keep theirs
+    name = F.substring_index("at", "/", -1)
+    folder = F.left("at", F.length("at") - F.length(name))
+    files = at.select(F.concat(folder, F.substring_index(name, ".", 1), F.lit(".txt")).alias("book_path"), "content")
     if done is not None:
         files = files.join(done.select("book_path"), "book_path", "left_anti").select("book_path", "content")
     return files.mapInPandas(run, "book_path string, text string")

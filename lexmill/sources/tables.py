@@ -1,4 +1,4 @@
-"""The engine's own tables: create, append without repeats, replace."""
+"""The engine's own tables: create, append without repeats, replace as a whole or by partition, buckets by word."""
 
 from __future__ import annotations
 
@@ -25,6 +25,22 @@ def replace(rows: DataFrame, name: str) -> None:
     rows.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def replace_partitions(rows: DataFrame, name: str) -> None:
+    """Rows take the place of all rows of the partitions that they are of; other partitions stay, and are not read.
+
+    The table must be partitioned (see create). Rows are staged by the writer and put in place, partition by partition, when all are there. An empty
+    string in the partition's column is stored as null. A table can't be replaced by rows that are read from it.
+    """
+    spark = rows.sparkSession
+    columns = spark.catalog.listColumns(name)
+    folder = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+    # by folder: the writer of a folder takes the mode as its own option, not as the session's setting
+    writer = rows.select(*[c.name for c in columns]).write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writer.partitionBy(*[c.name for c in columns if c.isPartition]).parquet(folder)
+    spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+
+
 def names(spark: SparkSession, database: str = "default", without: tuple[str, ...] = ("processed_books", "word_intersection", "global_union", "translations", "translations_cache")) -> list[str]:
     """Tables of books: all but the engine's own results."""
     return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.name not in without)

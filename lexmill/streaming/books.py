@@ -15,7 +15,7 @@ FILES = "book_path string, text string"
 def book_stream(spark: SparkSession, root: str) -> DataFrame:
     """(book_path, category, book, text) of text files under root, new ones as they appear."""
     raw = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(root)
-    return files.named(raw.select(files.relative_path(F.col("_metadata.file_path"), root).alias("book_path"), F.col("value").alias("text")))
+    return files.text_files(raw, root)
 
 
 def write_words(books: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -61,3 +61,23 @@ def test_stream_counts_each_book_once(spark, tmp_path):
     (root / "science/four.txt").write_text("dva")
     assert run()["dva"] == 4
     assert run()["dva"] == 4
+
+
+def test_folders_that_are_called_like_the_root(spark, tmp_path):
+    root = tmp_path / "txt"
+    for name in ("latextxt/a.txt", "txt/b.txt", "math/txt/c.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    for given in (str(root), f"{root}/", f"file://{root}"):
+        got = {(r.book_path, r.category, r.book) for r in files.text_books(spark, given).collect()}
+        assert got == {("latextxt/a.txt", "latextxt", "a"), ("txt/b.txt", "txt", "b"), ("math/txt/c.txt", "math", "txt")}
+
+
+def test_pdf_names_end_at_their_own_first_dot(spark, tmp_path):
+    for name in ("v1.2/x/a.pdf", "v1.2/x/b.c.pdf", "e.pdf", "txt/no.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = files.pdf_books(spark, str(tmp_path), bytes.decode)
+    assert {r.book_path for r in found.collect()} == {"v1.2/x/a.txt", "v1.2/x/b.txt", "e.txt"}
+    done = found.where("book_path <> 'v1.2/x/b.txt'").select("book_path")
+    assert [r.book_path for r in files.pdf_books(spark, str(tmp_path), bytes.decode, done).collect()] == ["v1.2/x/b.txt"]

@@ -1,0 +1,76 @@
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.sources import tables
+from lexmill.sources.stored import Conflict, StoredTable
+
+SCHEMA = "word string, cnt long, translation string"
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    return StoredTable(spark, f"file://{tmp_path}/stored", SCHEMA)
+
+
+def df(spark, *rows):
+    return spark.createDataFrame(list(rows), SCHEMA)
+
+
+def test_upsert_and_versions(spark, stored):
+    assert stored.pointer()["version"] == 0 and rows_of(stored.read()) == []
+    stored.upsert(df(spark, ("a", 1, "x"), (None, 2, "n")), ["word"])
+    first = stored.read()
+    stored.upsert(df(spark, ("a", 5, "y"), ("b", 3, None), (None, 7, "m")), ["word"], batch=4)
+    assert rows_of(stored.read()) == sorted([("a", 5, "y"), ("b", 3, None), (None, 7, "m")], key=repr)
+    assert rows_of(first) == rows_of(stored.read(1)) == sorted([("a", 1, "x"), (None, 2, "n")], key=repr)
+    assert stored.pointer()["notes"] == {"batch": 4} and stored.versions() == [1, 2]
+    stored.vacuum()
+    assert stored.versions() == [2] and len(rows_of(stored.read())) == 3
+
+
+def test_a_failure_on_the_way_leaves_the_old_rows(spark, stored, monkeypatch):
+    stored.commit(df(spark, ("a", 1, "x")))
+    boom = F.udf(lambda w: 1 // 0, "string")
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        stored.upsert(df(spark, ("a", 2, "y")).withColumn("translation", boom("word")), ["word"])
+    assert rows_of(stored.read()) == [("a", 1, "x")]
+    with monkeypatch.context() as m:  # all is written, but the pointer isn't put in place
+        m.setattr(stored, "_switch", lambda pointer: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            stored.upsert(df(spark, ("a", 2, "y")), ["word"])
+    assert rows_of(stored.read()) == [("a", 1, "x")] and stored.versions() == [1]
+    stored.upsert(df(spark, ("a", 2, "y")), ["word"])
+    stored.vacuum()
+    assert rows_of(stored.read()) == [("a", 2, "y")]
+
+
+def test_one_of_two_writers_wins(spark, stored):
+    stored.commit(df(spark, ("a", 1, "x")))
+    began = stored.pointer()
+    stored.commit(df(spark, ("b", 1, "x")))
+    with pytest.raises(Conflict):
+        stored.commit(df(spark, ("c", 1, "x")), since=began["version"])
+    with pytest.raises(Conflict):  # both had looked before either wrote
+        stored._switch({"version": 2, "folder": "rows-none", "notes": {}})
+    assert rows_of(stored.read()) == [("b", 1, "x")]
+
+
+def test_partitions_are_replaced(spark):
+    name = f"lexmill_test_{uuid.uuid4().hex}"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.create(spark, name, "global_union", "category")
+    schema = "category string, word string, cnt long"
+    tables.append(spark.createDataFrame([("a", "x", 1), ("b", "x", 2), (None, "y", 3)], schema), name)
+    before = {f for f in spark.table(name).inputFiles() if "category=b" in f}
+    tables.replace_partitions(spark.createDataFrame([("a", "z", 9), (None, "w", 4)], schema), name)
+    assert rows_of(spark.table(name).select("category", "word", "cnt")) == sorted([("a", "z", 9), ("b", "x", 2), (None, "w", 4)], key=repr)
+    assert {f for f in spark.table(name).inputFiles() if "category=b" in f} == before  # not touched
+    tables.replace_partitions(spark.createDataFrame([], schema), name)
+    assert spark.table(name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
