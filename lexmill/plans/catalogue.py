@@ -18,6 +18,9 @@ from lexmill.operators.callgraph import pruned
 from lexmill.operators.ranking import in_order, ranked
 from lexmill.plans import pipeline
 from lexmill.sources import files, tables
+from lexmill.sources.scratch import new_path
+from lexmill.sources.stored import StoredTable
+from lexmill.streaming.running import RunningVocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -313,6 +316,18 @@ def translations_upsert(spark, sf_dir):
     return translation.upserted(old, new, ["category", "word"])
 
 
+@_query(_with(TOKENS, UNION, POPULAR, """o AS (SELECT category, word, 0::BIGINT AS cnt, word || 'x' AS translation FROM gu WHERE length(word) = 5),
+n AS (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT 2 AS version, * FROM n UNION ALL SELECT 2, * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.category = o.category AND n.word = o.word) UNION ALL SELECT 1, * FROM o"))
+def stored_translations(spark, sf_dir):
+    """Translations stored in one version and upserted in the next; both are read back."""
+    union = vocabulary.union_of_books(_words(spark, sf_dir))
+    stored = StoredTable(spark, new_path(spark, "translations"), "category string, word string, cnt long, translation string")
+    stored.commit(union.where(F.length("word") == 5).select("category", "word", F.lit(0).alias("cnt"), F.concat("word", F.lit("x")).alias("translation")))
+    stored.upsert(popularity.popular_words(union).select("category", "word", "cnt", F.reverse("word").alias("translation")), ["category", "word"])
+    versions = [stored.read(v).select(F.lit(v).alias("version"), "*") for v in stored.versions()]
+    return versions[0].unionByName(versions[1])
+
+
 @_query(_with(TOKENS, UNION, CACHE, then="SELECT category, word, cnt, translation FROM gu LEFT JOIN cache USING (word)"))
 def word_with_translation(spark, sf_dir):
     union = vocabulary.union_of_books(_words(spark, sf_dir))
@@ -452,6 +467,29 @@ def table_words(spark, sf_dir):
     return spark.table(name).select("category", "book", "word", "cnt")
 
 
+@_query(_with(TOKENS, UNION, then="SELECT category, word, CASE WHEN category IN ('de', 'en') THEN -cnt ELSE cnt END AS cnt FROM gu WHERE category NOT IN ('de', 'en') OR cnt > 1"))
+def replaced_categories(spark, sf_dir):
+    """The union stored by category; then two categories are replaced, by other rows, and the others stay."""
+    name = f"lexmill_replaced_{uuid.uuid4().hex}"
+    tables.create(spark, name, "global_union", "category")
+    union = vocabulary.union_of_books(_words(spark, sf_dir))
+    tables.append(union, name)
+    tables.replace_partitions(union.where(F.col("category").isin("de", "en") & (F.col("cnt") > 1)).withColumn("cnt", -F.col("cnt")), name)
+    return spark.table(name).select("category", "word", "cnt")
+
+
+@_query(_with(TOKENS, f"every AS ({INTERSECTION.format(words='wc', general='')})", """gb AS (SELECT category, word, sum(cnt)::BIGINT AS cnt, count(*) AS books FROM wc GROUP BY ALL)""",
+              then="SELECT gb.*, every.word IS NOT NULL AS everywhere FROM gb LEFT JOIN every ON gb.category = every.category AND gb.word = every.word"))
+def running_vocabulary(spark, sf_dir):
+    """Counts and numbers of books kept over three batches of books, the second of which comes twice, and whether all books of the category have the word."""
+    running = RunningVocabulary(spark, new_path(spark, "running"), mend=False)
+    paths = _books(spark, sf_dir).withColumn("book_path", F.concat_ws("/", "category", F.concat("book", F.lit(".txt"))))
+    for number, last in enumerate(("[0-3]$", "[4-6]$", "[4-6]$", "[7-9]$")):
+        running.apply(paths.where(F.col("book").rlike(last)), number)
+    every = running.intersection().select("category", "word", F.lit(True).alias("everywhere"))
+    return running.words.read().join(every, ["category", "word"], "left").withColumn("everywhere", F.coalesce("everywhere", F.lit(False)))
+
+
 @_query(_with(TOKENS, UNION, then="SELECT * FROM gu"))
 def refreshed_union(spark, sf_dir):
     """The union of all books but those whose number is over 14, then refreshed with them."""
