@@ -129,16 +129,49 @@ def mend(text: str | None) -> str | None:
 
 
 def _mend(texts: pd.Series) -> pd.Series:
+    """mend() of a column held by Python, for what isn't Spark's."""
     return texts.map(mend)
 
 
+# The same steps as patterns of the JVM. A condition on the lengths of both parts becomes one alternative for each length of the head, as
+# the letters before a break are its head whatever follows; parts that don't fit are passed as they are, by the last alternative, since a
+# part that was looked at as a tail is not a head as well.
+
+
+def _joins(gap: str, fitting: list[tuple[str, str]], head: int) -> tuple[str, str]:
+    """Pattern and replacement: letters, gap and letters are joined for lengths (of the head, of the tail) in fitting, else kept."""
+    ways = [f"({LETTER}{{{h}}}){gap}({LETTER}{{{t}}})(?!{LETTER})" for h, t in fitting]
+    whole = f"{LETTER}{{1,{head}}}{gap}{LETTER}{{2,}}"
+    return f"(?={whole})(?:{'|'.join(ways)}|({whole}))", "".join(f"${i}" for i in range(1, 2 * len(ways) + 2))
+
+
+def _jvm_steps() -> list[tuple[str, str]]:
+    white, other = f"[{SPACE}]", f"[^{SPACE}]"
+    within = f"[{SPACE}&&[^\\n]]"
+    to_break, wide = f"(?={within}*+\\n){white}*+", f"(?={within}*+\\n{white}){white}++"
+    short = [(str(n), f"2,{JOIN_UP_TO - n}") for n in range(1, HEAD + 1)]
+    near = [(f"1,{SHORT_HEAD}", "2,"), *[(str(n), f"2,{max(JOIN_SPACED - n, BOTH_SHORT if n <= BOTH_SHORT else 0)}") for n in range(SHORT_HEAD + 1, SPACED_HEAD + 1)]]
+    return [
+        _joins(f"{white}*+-{to_break}", short, HEAD),
+        _joins(f"{white}*+-{white}++", short, HEAD),
+        _joins(f"{white}{wide}", near, SPACED_HEAD),
+        _joins(f"\\r?\\n{white}++", near, SPACED_HEAD),
+        (f"([.,;:!?]|(?<![{SPACE}.,;:!?]){white}){wide}({LETTER}{{2,}})", "$1 $2"),
+        (f"(\\A|(?<={other}){within}*+\\n){wide}({LETTER}{{2,}})", "$1$2"),
+        (f"({LETTER}{{{LONG_HEAD}}}){white}*+-{to_break}({LETTER}{{{SHORT_TAIL}}})", "$1$2"),
+        (f"({LETTER}){to_break}({LETTER})", "$1 $2"),
+    ]
+
+
 def mend_breaks(text: Column) -> Column:
     """Line-break repair of lower-cased text.
 
-    All steps but the last need white space behind a hyphen or a line feed; only texts with that go through Python.
+    All steps but the last need white space behind a hyphen or a line feed; only texts with that go through all of them.
     """
-    udf = F.pandas_udf(_mend, "string")
     bare = strip_soft(text)
     # a letter, white space that ends in a line feed, a letter: such texts have no other breaks between letters
     last = F.regexp_replace(bare, F.lit(rf"({LETTER})[{SPACE}]*+(?<=\n)({LETTER})"), F.lit("$1 $2"))
-    return F.when(bare.rlike(rf"[-\n][{SPACE}]"), udf(text)).otherwise(last)
+    every = bare
+    for pattern, put in _jvm_steps():
+        every = F.regexp_replace(every, F.lit(pattern), F.lit(put))
+    return F.when(bare.rlike(rf"[-\n][{SPACE}]"), every).otherwise(last)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.joins import join_same
-from lexmill.operators.ranking import ranked
+from lexmill.operators.ranking import ranked_in_ranges
 from lexmill.schemas import DEFAULT, Settings
 
 
 def running_coverage(words: DataFrame) -> DataFrame:
     """(category, word, cnt, rn, running, n, total) by falling count."""
-    return ranked(words, ["category"], totals=True)
+    return ranked_in_ranges(words, ["category"], totals=True)
 
 
 def popular_words(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators.joins import join_same
-from lexmill.operators.ranking import ranked
+from lexmill.operators.ranking import ranked_in_ranges
 from lexmill.schemas import DEFAULT, Settings
 
 #: Translates words from one language to another, in order; may raise.
@@ -20,7 +20,7 @@ Translator = Callable[[list[str], str, str], list[str]]
 def batches(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """words (word, cnt) with source and target language and the number of their request, from 0, within a direction."""
     routed = words.select("word", "cnt", X.script_language(F.col("word")).alias("src_lang"), X.other_language(F.col("word")).alias("tgt_lang"))
-    numbered = ranked(routed, ["src_lang", "tgt_lang"])
+    numbered = ranked_in_ranges(routed, ["src_lang", "tgt_lang"])
     return numbered.select("word", "cnt", "src_lang", "tgt_lang", F.floor((F.col("rn") - 1) / settings.translate_batch).cast("long").alias("batch"))
 
 

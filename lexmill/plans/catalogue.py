@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.operators import callgraph, language, ledger, lemmas, popularity, similarity, translation, vocabulary
 from lexmill.operators.callgraph import pruned
-from lexmill.operators.ranking import in_order, ranked
+from lexmill.operators.ranking import in_order, ranked, ranked_in_ranges
 from lexmill.plans import pipeline
 from lexmill.sources import files, tables
 from lexmill.sources.scratch import new_path
@@ -135,6 +135,18 @@ def hyphen_repair(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", X.mend_breaks(F.lower("text")).alias("mended"))
 
 
+BREAKS = [("([a-z]{3})([a-z]{3,5})", "\n  "), ("([a-z]{4})([a-z]{5})", "-\n"), ("([a-z]{5})([a-z]{5,6})", " - "), ("([a-z]{4})([a-z]{8,9})", "-  \n "), ("([a-z]{7})([a-z]{7,11})", " -\n")]
+
+
+@_query(r"SELECT doc_id, regexp_replace(lower(text), '([а-яА-ЯёЁa-zA-Z])\s*\r?\n\s*([а-яА-ЯёЁa-zA-Z])', '\1 \2', 'g') AS mended FROM documents")
+def broken_documents(spark, sf_dir):
+    """Every word of 6 to 18 letters a-z cut in two by its length, in one of five ways, and mended again."""
+    broken = F.lower("text")
+    for word, gap in BREAKS:  # parts of a cut word are shorter than the words that later patterns look for
+        broken = F.regexp_replace(broken, F.lit(rf"(?<![\p{{L}}\p{{N}}\p{{M}}-]){word}(?![\p{{L}}\p{{N}}\p{{M}}-])"), F.lit(f"$1{gap}$2"))
+    return _documents(spark, sf_dir).select("doc_id", X.mend_breaks(broken).alias("mended"))
+
+
 # ---- frequencies ----
 
 
@@ -302,7 +314,7 @@ NEW = "nw AS (SELECT row_number() OVER (ORDER BY cnt DESC, word) AS seq, word, l
 b AS (SELECT 2 * seq AS a, word, translation FROM g UNION ALL SELECT 2 * seq + 1, translation, word FROM g),
 f AS (SELECT word, arg_min(translation, a) AS translation FROM b GROUP BY word)""", then="SELECT word, translation FROM f WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.word = f.word)"))
 def cache_bidirectional(spark, sf_dir):
-    words = ranked(_popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt")), [])
+    words = ranked_in_ranges(_popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt")), [])
     new = words.select(F.col("rn").alias("seq"), "word", F.substring("word", 1, 3).alias("translation"))
     return translation.remembered(new, _cache(spark, sf_dir))
 
@@ -340,6 +352,29 @@ def word_lookup(spark, sf_dir):
     return translation.with_translation(union, _cache(spark, sf_dir), "with").select("category", "word", "cnt", "translation")
 
 
+def _indexed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The union and the cache, both in buckets by word."""
+    found = []
+    for kind, rows in (("union", vocabulary.union_of_books(_words(spark, sf_dir))), ("cache", _cache(spark, sf_dir))):
+        name = f"lexmill_{kind}_{uuid.uuid4().hex}"
+        tables.bucketed(rows, name, "word", buckets=8)
+        found.append(spark.table(name))
+    return found[0], found[1]
+
+
+@_query(_with(TOKENS, UNION, CACHE, then="SELECT category, word, cnt, translation FROM gu LEFT JOIN cache USING (word) WHERE word IN ('with', 'nicht', 'leur')"))
+def indexed_lookup(spark, sf_dir):
+    """word_lookup over bucketed tables: one bucket of each for each of the words."""
+    union, cache = (x.where(F.col("word").isin("with", "nicht", "leur")) for x in _indexed(spark, sf_dir))
+    return translation.with_translation(union, cache).select("category", "word", "cnt", "translation")
+
+
+@_query(_with(TOKENS, UNION, CACHE, then=f"SELECT category, word, cnt, translation FROM gu JOIN cache USING (word) WHERE {VALID.format(t='translation', w='word')}"))
+def indexed_cache(spark, sf_dir):
+    """cache_lookup of the whole union over bucketed tables: a join without a shuffle."""
+    return translation.cached(*_indexed(spark, sf_dir)).select("category", "word", "cnt", "translation")
+
+
 @_query(_with(TOKENS, UNION, POPULAR, CACHE, f"""c AS (SELECT category, word, translation FROM pop JOIN cache USING (word) WHERE {VALID.format(t='translation', w='word')}),
 n AS (SELECT category, word, left(word, 3) AS translation FROM pop WHERE NOT EXISTS (SELECT 1 FROM cache k WHERE k.word = pop.word))""", then="SELECT * FROM c UNION ALL SELECT * FROM n"))
 def merged_translations(spark, sf_dir):
@@ -437,23 +472,7 @@ def callgraph_prune(spark, sf_dir):
     return pruned(_documents(spark, sf_dir).select(F.col("lang").alias("src"), F.col("source").alias("dst")).distinct())
 
 
-# ---- line breaks, tables, refresh, call graphs ----
-
-BROKEN_LINES = [
-    ("od-\nnako", "odnako"), ("foo - bar", "foobar"), ("ab -\ncd-\nef", "abcdef"), ("cat\n  dog", "catdog"), ("abcde\n\nfghij", "abcdefghij"),
-    ("word .\n  next", "word . next"), ("afterwards\nbefore", "afterwards before"), ("cat  \n  dog", "catdog"), ("x\n\n  odnako", "xodnako"),
-    ("слово\n  да", "словода"), ("wxabcdefgh  \n  abcdefghijkl", "wxabcdefgh  abcdefghijkl"), ("\n  odnako tut", "odnako tut"),
-    ("abcdefgh\n  abcdefghijk", "abcdefgh abcdefghijk"), ("abcdefghij-\nabcdefghijklmno", "abcdefghijabcdefghijklmno"),
-    ("abcdefghij-\nabcdefghijklmnopq", "abcdefghijabcdefghijklmnopq"), ("end.\n next", "end. next"), ("end.\nnext", "end.\nnext"),
-    ("state-of-the-art", "state-of-the-art"), ("éé-\nab", "éé-\nab"), ("12-\nab", "12-\nab"),
-]
-
-
-@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{want}')" for i, (_, want) in enumerate(BROKEN_LINES)) + ") t(line_id, mended)")
-def broken_lines(spark, sf_dir):
-    lines = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(BROKEN_LINES)], "line_id long, text string")
-    return lines.select("line_id", X.mend_breaks(F.col("text")).alias("mended"))
-
+# ---- tables, refresh, call graphs ----
 
 @_query(_with(TOKENS, then="SELECT category, book, word, cnt FROM wc WHERE book NOT IN ('src0', 'src1') UNION ALL SELECT category, book, word, cnt FROM wc WHERE book IN ('src0', 'src1')"))
 def table_words(spark, sf_dir):

@@ -1,8 +1,12 @@
+import random
+import uuid
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from lexmill.operators import callgraph, language, ranking, translation
 from lexmill.plans import pipeline
-from lexmill.sources import files
+from lexmill.sources import files, tables
 
 
 def test_functions_of_one_name_share_their_calls(spark):
@@ -46,3 +50,48 @@ def test_spread(spark):
     assert files.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.spread(one).agg(F.sum("id")).first()[0] == 4950
     many = spark.range(100).repartition(50)
     assert files.spread(many) is many
+
+
+def test_ranks_by_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), f"w{i}", rng.choice([1, 1, 1, 2, 9, 40])) for i in range(700)]
+    words = spark.createDataFrame(rows, "category string, word string, cnt long").repartition(6)
+    for keys in ([], ["category"]):
+        got = ranking.ranked_in_ranges(words, keys, totals=True)
+        want, seen = [], defaultdict(lambda: [0, 0])
+        group = lambda r: r[0] if keys else 0
+        for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+            s = seen[group(r)]
+            s[0] += 1
+            s[1] += r[2]
+            want.append((*r, *s))
+        want = [(*r, *seen[group(r)]) for r in want]
+        assert sorted(map(tuple, got.select("category", "word", "cnt", "rn", "running", "n", "total").collect()), key=repr) == sorted(want, key=repr)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "SinglePartition" not in plan and "hashpartitioning(category" not in plan.split("Window")[1].split("\n")[2]
+    empty = words.where("cnt < 0")
+    assert ranking.ranked_in_ranges(empty, [], totals=True).count() == ranking.ranked_in_ranges(empty, ["category"]).count() == 0
+
+
+def test_bucketed_tables(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = [f"lexmill_test_{uuid.uuid4().hex}" for _ in range(2)]
+        union = spark.createDataFrame([("c", f"w{i}", i) for i in range(500)], "category string, word string, cnt long")
+        cache = spark.createDataFrame([(f"w{i}", f"t{i}") for i in range(0, 500, 3)], "word string, translation string")
+        for rows, name in zip((union, cache), names, strict=True):
+            tables.bucketed(rows, name, "word", buckets=8)
+        one = spark.table(names[0]).where("word = 'w77'")
+        assert [tuple(r) for r in one.collect()] == [("c", "w77", 77)]
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan says it
+        one = spark.table(names[0]).where("word = 'w77'")
+        assert "1 out of 8" in one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        both = translation.cached(spark.table(names[0]), spark.table(names[1]))
+        assert both.count() == 167
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pandas as pd
@@ -98,3 +99,15 @@ def test_texts_mended_without_python(spark):
     texts = ["a\nb\nc", "x \nfoo\t\x1c\nbar", "word\r\nnext", "é\nab", "foo-bar\nbaz", "12\nab", None, "", "ab­\ncd"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.mend_breaks(F.col("t")).alias("m")).collect()
     assert [r.m for r in rows] == [X.mend(t) for t in texts]
+
+
+def test_random_texts_are_mended_alike(spark):
+    """The JVM's patterns against Python's, on texts made of what the steps look at."""
+    rng = random.Random(11)
+    letters = ["a", "bc", "def", "ghij", "klmno", "pqrstu", "vwxyzab", "однако", "ё", "cdefghijk", "lmnopqrstuvw", "x" * 15, "y" * 26, "éé", "9"]
+    gaps = ["-", "\n", " ", "\r\n", "\t", " ", "\x85", ".", ",", "!", "\xad", " -\n", "\n  ", "- ", "\n\n", " \n "]
+    texts = ["".join(rng.choice(rng.choice([letters, gaps])) for _ in range(rng.randint(1, 24))) for _ in range(6000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", X.mend_breaks(F.col("t")).alias("m")).collect()
+    assert [r for r in rows if r.m != X.mend(r.t)] == []
+    plan = spark.createDataFrame([("x",)], "t string").select(X.mend_breaks(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
