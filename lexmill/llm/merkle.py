@@ -175,9 +175,14 @@ def folded(leaf: Column, proof: Column, *ways: tuple[Column, Column]) -> Column:
     return state["h"]
 
 
+def _tops(groups: DataFrame) -> DataFrame:
+    """The groups' roots as leaves of one tree. Its number is a column of the table and no constant, so that joins on it are by key."""
+    return groups.select(F.col("top").alias("tree"), F.col("groups").alias("n"), F.col("tree").alias("idx"), F.col("subroot").alias("hash"), F.col("n").alias("size"))
+
+
 @dataclass
 class Manifest:
-    """A dataset's trie. leaves (tree, n, idx, hash, kept), runs as `reduced` has them; groups (tree, value, n, subroot)."""
+    """A dataset's trie. leaves (tree, n, idx, hash, kept), runs as `reduced` has them; groups (tree, value, n, subroot, top, groups)."""
 
     leaves: DataFrame
     runs: list[DataFrame]
@@ -198,7 +203,7 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """(tree, n, idx, hash, kept, subroot, proof) of all leaves."""
-        tops = self.groups.select(F.lit(0).cast("long").alias("tree"), F.lit(self.n_groups).cast("long").alias("n"), F.col("tree").alias("idx"), F.col("subroot").alias("hash"), F.col("n").alias("size"))
+        tops = _tops(self.groups)
         end = tops.select("tree", "n", F.lit("").alias("subroot"), F.lit("").alias("proof")).limit(1)
         ways = _proofs(tops, self.top, end, "size").select(F.col("idx").alias("tree"), F.col("size").alias("n"), F.col("hash").alias("subroot"), "proof")
         return _proofs(self.leaves, self.runs, ways, *self.kept)
@@ -215,9 +220,9 @@ def manifest(rows: DataFrame, group: str, key: str, leaf: Column, **kept: Column
     keyed = slim.alias("s").join(known.alias("g"), F.col("s.value").eqNullSafe(F.col("g.value"))).select("g.tree", "g.n", "_id", tied.alias("_leaf"), "_row", "hash", *kept)
     leaves = cut(group_ranks(keyed, "tree", ["_id", "_leaf", "_row"]).select("tree", "n", F.col("pos").alias("idx"), "hash", *kept), "ranked")
     runs, roots = reduced(leaves, most or 0, *kept)
-    groups = cut(named.join(roots.select("tree", F.col("hash").alias("subroot")), "tree"), "subroots")
-    tops = groups.select(F.lit(0).cast("long").alias("tree"), F.lit(n_groups).cast("long").alias("n"), F.col("tree").alias("idx"), F.col("subroot").alias("hash"), F.col("n").alias("size"))
-    top, root = reduced(tops, n_groups, "size")
+    subroots = named.join(roots.select("tree", F.col("hash").alias("subroot")), "tree")
+    groups = cut(subroots.withColumns({"top": F.lit(0).cast("long"), "groups": F.lit(n_groups).cast("long")}), "subroots")
+    top, root = reduced(_tops(groups), n_groups, "size")
     root = root.first()  # one row
     return Manifest(leaves, runs, groups, top, n_groups, root and root["hash"], tuple(kept))
 
