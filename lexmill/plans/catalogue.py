@@ -195,6 +195,26 @@ def lemma_dictionary(spark, sf_dir):
     return lemmas.by_dictionary(words, plural.select("word", F.expr("left(word, length(word) - 1)").alias("lemma")))
 
 
+DICTIONARY = """dict AS (SELECT word, CASE WHEN word LIKE '%ies' THEN left(word, length(word) - 3) || 'y' WHEN word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END AS lemma
+  FROM (SELECT DISTINCT word FROM wc WHERE book IN ('src0', 'src1')) WHERE length(word) > 4)"""
+
+
+@_query(_with(TOKENS, DICTIONARY, """same AS (SELECT *, len(list_filter(range(1, least(length(word), length(lemma)) + 1), lambda i: left(word, i) = left(lemma, i))) AS s FROM dict),
+ends AS (SELECT substr(word, f + 1) AS ending, substr(lemma, f + 1) AS put FROM (SELECT *, unnest(range(greatest(s - 3, 0), s + 1)) AS f FROM same)),
+rules AS (SELECT ending, arg_min(put, struct_pack(n := -n, p := put)) AS put, max(n) AS n FROM (SELECT ending, put, count(*) AS n FROM ends WHERE length(ending) <= 8 GROUP BY ALL) GROUP BY ending HAVING max(n) >= 2),
+unk AS (SELECT DISTINCT word FROM wc WHERE word NOT IN (SELECT word FROM dict)),
+tried AS (SELECT word, size, right(word, size) AS ending FROM (SELECT word, unnest(range(0, least(8, length(word) - 2) + 1)) AS size FROM unk)),
+hit AS (SELECT word, arg_max(struct_pack(size := size, put := put), size) AS r FROM tried JOIN rules USING (ending) GROUP BY word),
+lem AS (SELECT word, left(word, length(word) - r.size) || r.put AS lemma FROM hit UNION ALL SELECT * FROM dict)""",
+              then="SELECT category, book, coalesce(lemma, word) AS word, sum(cnt)::BIGINT AS cnt FROM wc LEFT JOIN lem USING (word) GROUP BY ALL"))
+def lemma_rules(spark, sf_dir):
+    """All books by the lemmas of a dictionary made of the general books' words, other words by rules learnt from it."""
+    words = _words(spark, sf_dir)
+    known = words.where(F.col("book").isin(*GENERAL) & (F.length("word") > 4)).select("word").distinct()
+    lemma = F.when(F.col("word").endswith("ies"), F.concat(F.expr("left(word, length(word) - 3)"), F.lit("y"))).when(F.col("word").endswith("s"), F.expr("left(word, length(word) - 1)")).otherwise(F.col("word"))
+    return lemmas.by_rules(words, known.select("word", lemma.alias("lemma")))
+
+
 @_query(_with(TOKENS, then=r"SELECT category, book, count(*)::BIGINT AS occurrences, count(*) FILTER (regexp_full_match(word, '\p{L}+'))::BIGINT AS letters_only FROM tok GROUP BY ALL"))
 def letters_only_tokens(spark, sf_dir):
     tokens = X.each(_books(spark, sf_dir), "category", "book", word=F.regexp_extract_all(F.lower("text"), F.lit(X.WORD), F.lit(0)))
@@ -285,6 +305,25 @@ def language_vote(spark, sf_dir):
     return language.vote(_documents(spark, sf_dir), ["source"], "lang")
 
 
+@_query(r"""WITH w AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents),
+fitted AS (SELECT lang, word, count(*) AS cnt FROM w WHERE lang IS NOT NULL AND regexp_matches(source, '[02468]$') GROUP BY ALL),
+voc AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr('_' || word || '_', i, 3))) AS gram FROM (SELECT DISTINCT word FROM w)),
+counts AS (SELECT lang, gram, sum(cnt)::BIGINT AS c FROM fitted JOIN voc USING (word) GROUP BY ALL),
+base AS (SELECT lang, -floor(1000 * ln((sum(c) + (SELECT count(DISTINCT gram) FROM counts))::DOUBLE))::BIGINT AS base FROM counts GROUP BY lang),
+gains AS (SELECT word, lang, sum(floor(1000 * ln((c + 1)::DOUBLE))::BIGINT)::BIGINT AS gain FROM voc JOIN counts USING (gram) GROUP BY ALL),
+dw AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
+gained AS (SELECT doc_id, gains.lang, sum(n * gain)::BIGINT AS gained FROM dw JOIN gains USING (word) GROUP BY ALL),
+total AS (SELECT doc_id, sum(n * length(word))::BIGINT AS grams FROM dw GROUP BY doc_id),
+best AS (SELECT t.doc_id, arg_min(b.lang, struct_pack(s := -(grams * base + coalesce(gained, 0)), l := b.lang)) AS language FROM total t, base b LEFT JOIN gained g ON g.doc_id = t.doc_id AND g.lang = b.lang GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(language, 'und') AS language FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id""")
+def language_model(spark, sf_dir):
+    """Every document's language by a model of the books with even numbers."""
+    docs = _documents(spark, sf_dir)
+    words = X.each(docs.where(F.col("source").rlike("[02468]$")), "lang", word=F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    model = language.fit(words.groupBy(F.col("lang").alias("language"), "word").agg(F.count("*").alias("cnt")))
+    return language.identify(docs.select("doc_id", "text"), ["doc_id"], model)
+
+
 @_query(_with(TOKENS, UNION, POPULAR, """m AS (SELECT word, sum(cnt)::BIGINT AS cnt FROM pop GROUP BY word),
 d AS (SELECT *, CASE WHEN regexp_matches(word, '[а-яА-Я]') THEN 'ru' ELSE 'en' END AS src_lang FROM m)""", then="""SELECT word, cnt, src_lang, CASE WHEN src_lang = 'ru' THEN 'en' ELSE 'ru' END AS tgt_lang,
   floor((row_number() OVER (PARTITION BY src_lang ORDER BY cnt DESC, word) - 1) / 800)::BIGINT AS batch FROM d"""))
