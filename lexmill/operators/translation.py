@@ -33,6 +33,30 @@ def missing(words: DataFrame, cache: DataFrame) -> DataFrame:
     return words.join(cache.select("word"), "word", "left_anti").select(*words.columns)
 
 
+#: What a response is read as; its other members are left out.
+RESPONSE = "translations array<struct<text:string>>"
+
+
+def requests(words: DataFrame, settings: Settings = DEFAULT, **constant: str) -> DataFrame:
+    """(src_lang, batch, words, body): a JSON body for each request of words (word, cnt); constant: members that all bodies begin with, such as the folderId."""
+    numbered = batches(words, settings)
+    grouped = numbered.groupBy("src_lang", "tgt_lang", "batch").agg(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("c"), "word"))).alias("of"))  # translate_batch at most
+    found = grouped.select("src_lang", "tgt_lang", "batch", F.transform("of", lambda x: x["word"]).alias("words"))
+    members = [F.lit(v).alias(k) for k, v in constant.items()]
+    return found.select("src_lang", "batch", "words", F.to_json(F.struct(*members, F.col("words").alias("texts"), F.col("tgt_lang").alias("targetLanguageCode"))).alias("body"))
+
+
+def answered(asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """(word, translation) of requests and responses (src_lang, batch, body); all words of a request get the mark of failure if
+    its response isn't there, can't be read, or has another number of translations; a word whose text isn't there gets it alone."""
+    read = F.from_json("body", RESPONSE)["translations"]
+    came = responses.select("src_lang", "batch", read.alias("texts"))
+    both = asked.select("src_lang", "batch", "words").join(came, ["src_lang", "batch"], "left")
+    fits = F.coalesce(F.size("texts") == F.size("words"), F.lit(False))
+    pairs = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.coalesce(F.when(fits, F.get("texts", i)["text"]), F.lit(X.BROKEN)).alias("translation")))
+    return both.select(F.explode(pairs).alias("p")).select("p.*")
+
+
 def translate(words: DataFrame, translator: Translator, settings: Settings = DEFAULT) -> DataFrame:
     """(word, translation) by a plug-in, one request per batch; what fails gets the mark of failure."""
 

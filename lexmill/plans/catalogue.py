@@ -17,7 +17,7 @@ from lexmill.operators import callgraph, language, ledger, lemmas, popularity, s
 from lexmill.operators.callgraph import pruned
 from lexmill.operators.ranking import in_order, ranked, ranked_in_ranges
 from lexmill.plans import pipeline
-from lexmill.sources import files, tables
+from lexmill.sources import files, renames, tables
 from lexmill.sources.scratch import new_path
 from lexmill.sources.stored import StoredTable
 from lexmill.streaming.running import RunningVocabulary
@@ -331,6 +331,27 @@ def translation_batches(spark, sf_dir):
     return translation.batches(_popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt")))
 
 
+@_query(_with(TOKENS, UNION, POPULAR, """m AS (SELECT word, sum(cnt)::BIGINT AS cnt FROM pop GROUP BY word),
+d AS (SELECT *, CASE WHEN regexp_matches(word, '[а-яА-Я]') THEN 'ru' ELSE 'en' END AS src_lang FROM m),
+n AS (SELECT *, row_number() OVER (PARTITION BY src_lang ORDER BY cnt DESC, word) AS rn FROM d)""", then="""SELECT src_lang, ((rn - 1) // 800)::BIGINT AS batch,
+  '{"folderId":"f","texts":[' || string_agg('"' || word || '"', ',' ORDER BY rn) || '],"targetLanguageCode":"' || CASE WHEN src_lang = 'ru' THEN 'en' ELSE 'ru' END || '"}' AS body
+FROM n GROUP BY src_lang, (rn - 1) // 800"""))
+def translation_requests(spark, sf_dir):
+    words = _popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    return translation.requests(words, folderId="f").select("src_lang", "batch", "body")
+
+
+@_query(_with(TOKENS, UNION, POPULAR, """n AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) AS rn FROM (SELECT word, sum(cnt)::BIGINT AS cnt FROM pop GROUP BY word))""",
+              then="SELECT word, CASE WHEN (rn - 1) // 800 % 3 = 1 THEN '—' ELSE reverse(word) END AS translation FROM n"))
+def translation_answers(spark, sf_dir):
+    """Responses made of the requests, every third of them broken, read back."""
+    words = _popular(spark, sf_dir).groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    asked = translation.requests(words, folderId="f")
+    texts = F.transform(F.from_json("body", "texts array<string>")["texts"], lambda t: F.struct(F.reverse(t).alias("text"), F.lit("en").alias("detectedLanguageCode")))
+    body = F.when(F.col("batch") % 3 == 1, '{"code": 429}').otherwise(F.to_json(F.struct(texts.alias("translations"))))
+    return translation.answered(asked, asked.select("src_lang", "batch", body.alias("body")))
+
+
 def _cache(spark, sf_dir) -> DataFrame:
     words = _words(spark, sf_dir).select("word").distinct()
     return words.where(F.length("word") % 2 == 0).select("word", F.reverse("word").alias("translation"))
@@ -489,6 +510,13 @@ def clean_filenames(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.col("host").alias("name"), X.clean_filename(F.col("host")).alias("clean_name"))
 
 
+@_query(_with(ADDRESS, f"f AS (SELECT DISTINCT coalesce(host, '') AS folder, left(host, 3) || '.' || path AS name FROM a), w AS (SELECT folder, name, {_clean_sql('name')} AS target FROM f)",
+              then="SELECT folder, min(name) AS name, target FROM w WHERE name <> target AND NOT EXISTS (SELECT 1 FROM f WHERE f.folder = w.folder AND f.name = w.target) GROUP BY folder, target"))
+def planned_renames(spark, sf_dir):
+    """Which files of a tree made of the pages' addresses get a new name."""
+    return renames.targets(_pages(spark, sf_dir).select(F.col("host").alias("folder"), F.concat(F.left("host", F.lit(3)), F.lit("."), "path").alias("name")))
+
+
 def _tree(spark, sf_dir) -> DataFrame:
     return _pages(spark, sf_dir).select(F.concat("host", F.lit("/"), "path").alias("path"))
 
