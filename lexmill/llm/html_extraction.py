@@ -7,7 +7,9 @@ to the sink (boilerplate). Blocks that follow each other, and blocks that are ne
 tied by smoothness edges, the weaker the farther apart. The minimum cut between source and sink
 labels all blocks of a page at once: a short line between paragraphs goes with them, a sentence among links does not.
 
-Blocks inside elements that can't hold article text (nav, aside, form, footer and the like) or that are hidden have a capacity that no cut of smoothness edges outweighs; class names and ids (adverts, comments, sidebars) only lower the log-odds, much if that is all they say; scripts, styles and comments of markup are not blocks. Inline elements that are hidden or named as adverts lose their text. A page of which
+Blocks inside elements that can't hold article text (nav, aside, footer and the like) or that are hidden have a capacity that no cut of smoothness edges outweighs; so have those in a form, unless it holds half of the page's
+text or more, as where a server puts a form around each page, or they are in an article within the form. Buttons and labels are inline: in a sentence they are a part of it, text that is theirs alone is no block. Class names and ids (adverts, comments, sidebars) only lower the log-odds, much if that is all they say,
+or all but words for a part's kind or place (`reader-comments`, `ad-slot`) on an element that doesn't hold nine tenths of the text; scripts, styles and comments of markup are not blocks. Inline elements that are hidden or named as adverts lose their text. A page of which
 the cut would keep nothing is cut once more with all its log-odds raised, so that a page of a few words is not empty.
 
 The cut is exact. Blocks whose terminal outweighs all their edges are labelled first and folded into
@@ -40,12 +42,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements whose text is not shown, read up to their end tag.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes", "object", "svg", "math", "canvas", "audio", "video"}
 BLOCK = set(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag in the first set ends an open p; items end the item before them.
-ENDS_P = BLOCK - {"br", "button", "label", "option", "body", "html", "head", "td", "th", "tr", "caption"}
+ENDS_P = BLOCK - {"br", "option", "body", "html", "head", "td", "th", "tr", "caption"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_IN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 #: Elements that an item's start tag looks for: the nearest of a set is ended, or is where the search ends.
@@ -57,7 +59,10 @@ P_SCOPE = {"button", "td", "th", "article", "body"}
 #: What a head may hold; all else ends it.
 IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: Elements and roles that never hold article text, and words of class names or ids that speak against it.
-NOT_TEXT = {"nav", "aside", "form", "button", "select", "menu", "dialog", "search", "head", "fieldset", "datalist", "label", "footer"}
+NOT_TEXT = {"nav", "aside", "select", "menu", "dialog", "search", "head", "datalist", "footer"}
+CONTROLS = {"button", "label"}
+#: A form with this share of a page's text is around the page; so is a part with that one, whatever its name.
+PAGE_FORM, PAGE_PART = 0.5, 0.9
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar", "form", "alert", "tablist"}
 WORDS = set(
     "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright cta disclaimer disqus "
@@ -69,6 +74,12 @@ WORDS = set(
 ADVERTS = {"ad", "ads", "advert", "advertisement", "advertising", "adsense", "outbrain", "promo", "promoted", "promotion", "sponsor", "sponsored", "taboola"}
 #: A name with one of these tells of the layout around a part (has-sidebar, comments-open), not of the part.
 LAYOUT = {"has", "no", "with", "without", "open", "closed", "enabled", "disabled"}
+#: Beside the words above: whose part it is, of what kind, and where; with these a name still says no more than that.
+FILLERS = set(
+    "area areas articles bar block body bottom box btn button buttons card cards col column container count entries feed fixed float form global group head header holder icon icons inline inner "
+    "item items js label large latest left link links list lists mobile module more news outer panel posts primary reader readers rail right row secondary section site slot small sticky stories tab tabs text "
+    "thread title top unit user users view wrap wrapper zone".split()
+)
 GOOD = {"article", "content", "entry", "main", "post", "story", "articlebody", "body", "text"}
 
 #: The classifier: log-odds of content. Ties between neighbours of distance d in the tree weigh TIE / (1 + d).
@@ -83,7 +94,7 @@ SPARSE = 3.0
 class _Element:
     """An open element; what its ancestors are is handed down, so no tag looks up the tree."""
 
-    __slots__ = ("good", "article", "links", "name", "named", "never", "unseen", "number", "parent", "depth", "block", "head", "p", "near")
+    __slots__ = ("good", "article", "links", "name", "named", "never", "unseen", "number", "parent", "depth", "block", "head", "p", "near", "control", "form", "part", "began", "held")
 
     def __init__(self, name: str, attributes: str, parent: _Element | None, number: int):
         self.name, self.parent, self.number = name, parent, number
@@ -101,6 +112,11 @@ class _Element:
         if name in IN_SETS:
             self.near = tuple(self if name in names else old for names, old in zip(SETS, self.near, strict=True))
         self.links = bool(parent and parent.links) or name == "a"
+        # a button or label around it, the form it is in, the nearest element named after a part of a kind; characters of text before it and in it
+        self.control = bool(parent and parent.control) or name in CONTROLS
+        self.form = self if name == "form" else parent.form if parent else None
+        self.part = parent.part if parent else None
+        self.began = self.held = 0
         if attributes and not self.never and name not in ("html", "body"):
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values)
@@ -110,6 +126,8 @@ class _Element:
                         self.unseen |= name not in BLOCK and bool(words) and words <= ADVERTS
                         if words & WORDS and not words & LAYOUT:
                             self.named = max(self.named, BAD_NAME if words <= WORDS else PART_NAME)
+                            if not words <= WORDS and words <= WORDS | FILLERS and name in BLOCK:
+                                self.part = self
                         self.good |= bool(words & GOOD)
                 elif key == "role":
                     self.never |= value.lower() in ROLES
@@ -119,6 +137,8 @@ class _Element:
                 elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
                     self.never = True
                     self.unseen |= name not in BLOCK
+        if self.article and not (parent and parent.article):
+            self.form = None
 
 
 def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
@@ -126,26 +146,29 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
     out: list[tuple[str, _Element, float, str]] = []
     top = here = _Element("", "", None, 0)
     parts: list[str] = []
-    linked, place, number = 0, here, 0
+    linked, free, place, number, seen = 0, False, here, 0, 0
     in_block = ""
     opened: defaultdict[str, list[_Element]] = defaultdict(list)
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal linked, free, seen
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
+            if text and free:
                 out.append((text, place, min(1.0, linked / len(text)), in_block))
+                seen += 0 if place.never else len(text)
             parts.clear()
-            linked = 0
+            linked, free = 0, False
 
     def leave(e: _Element) -> None:
         """Close e and all that is open in it."""
         nonlocal here
         while here is not e:
             opened[here.name].pop()
+            here.held = seen - here.began
             here = here.parent
         opened[e.name].pop()
+        e.held = seen - e.began
         here = e.parent
 
     def end_head() -> None:
@@ -154,7 +177,7 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
             leave(here.head)
 
     def add(text: str) -> None:
-        nonlocal linked, place, in_block
+        nonlocal linked, free, place, in_block
         if here.name == "head" and not text.isspace():
             end_head()
         if here.unseen:
@@ -167,6 +190,7 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
             place = here.block
             in_block = place.name
         parts.append(text)
+        free = free or not (here.control or text.isspace())
         if here.links:
             linked += len(text.strip())
 
@@ -217,16 +241,26 @@ def blocks(html: str) -> list[tuple[str, _Element, float, str]]:
             if not m[0].endswith("/>") or name in BLOCK:
                 number += 1
                 here = _Element(name, m[3], here, number)
+                here.began = seen
                 opened[name].append(here)
     end_block()
+    while here is not None:  # what the page leaves open; the top holds all
+        here.held = seen - here.began
+        here = here.parent
     return out
 
 
-def log_odds(text: str, element: _Element, links: float, kind: str, page_has_article: bool) -> float:
-    if element.never:
+def _apart(element: _Element | None, held: int, share: float) -> bool:
+    """Whether there is such an element and it holds less than this share of the page's characters."""
+    return element is not None and element.held < share * held
+
+
+def log_odds(text: str, element: _Element, links: float, kind: str, page_has_article: bool, held: int = 0) -> float:
+    """held: the characters of all the page's blocks that aren't ruled out by their element."""
+    if element.never or _apart(element.form, held, PAGE_FORM):
         return -NEVER
     words = text.count(" ") + 1
-    score = BIAS + LENGTH * math.log(words) - LINKS * links - element.named
+    score = BIAS + LENGTH * math.log(words) - LINKS * links - (BAD_NAME if _apart(element.part, held, PAGE_PART) else element.named)
     if element.article:
         score += IN_ARTICLE
     elif page_has_article:
@@ -343,8 +377,9 @@ def main_text(html: str | None) -> str:
     found = blocks(html) if html else []
     if not found:
         return ""
-    article = any(e.article and not e.never and e.named < BAD_NAME for _, e, _, _ in found)
-    score = [log_odds(*b, article) for b in found]
+    held = sum(len(text) for text, e, _, _ in found if not e.never)
+    article = any(e.article and not e.never and e.named < BAD_NAME and not _apart(e.part, held, PAGE_PART) for _, e, _, _ in found)
+    score = [log_odds(*b, article, held) for b in found]
     edges = smoothness(found)
     keep = min_cut(score, edges)
     if not any(keep):
