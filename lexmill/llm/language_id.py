@@ -12,7 +12,8 @@ never one whose crc32(doc_id) is 0 modulo `folds`. Only text and lang are learne
 and the seed are fixed, so reruns agree.
 
 Defined results. A text that is null or has no letter is `und` with score 0, as is every text if
-nothing was learned. Words of over `LONGEST` bytes are read in pieces of that length. Null ids are
+nothing was learned. Words of over `LONGEST` bytes, such as whole texts of scripts without spaces, are labelled in pieces of that length, each read with as
+many bytes before and after it, so that no state begins at a piece's edge, or within a character; the sample's are learned without. Null ids are
 never used for training. Rows are independent; repeated rows repeat; an empty table gives no rows; other columns
 are not read.
 """
@@ -50,6 +51,23 @@ def words_of(text: str) -> list[bytes]:
     return words
 
 
+def readings(text: str) -> list[bytes | tuple[bytes, int, int]]:
+    """The words of a text; instead of one of over LONGEST bytes its pieces, with what is around them, and which of the positions are theirs."""
+    words = text.encode().translate(_PLAIN).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[bytes | tuple[bytes, int, int]] = []
+    for w in words:
+        if len(w) <= LONGEST:
+            out.append(w)
+            continue
+        for i in range(0, len(w), LONGEST):
+            a, end = max(0, i - LONGEST), min(len(w), i + LONGEST)
+            # the last piece has the space after the word, too
+            out.append((w[a : end + LONGEST], i - a, end - a + (end == len(w))))
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(1 + np.exp(-x))
 
@@ -166,13 +184,16 @@ class BiGru:
             out[t + 1] += n
         return out[1:]
 
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """Per word: sums over its positions of log probabilities, then of probabilities, then their number."""
+    def pooled(self, read: list[bytes | tuple[bytes, int, int]]) -> np.ndarray:
+        """Per word or piece: sums over its positions of log probabilities, then of probabilities, then their number."""
         c = len(self.languages)
+        words = [w if isinstance(w, bytes) else w[0] for w in read]
+        begin = np.array([0 if isinstance(w, bytes) else w[1] for w in read], np.int64)
+        end = np.array([len(w) + 1 if isinstance(w, bytes) else w[2] for w in read], np.int64)
         out = np.zeros((len(words), 2 * c + 1), np.float32)
         length = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(length, kind="stable")
-        first = np.searchsorted(length[order], np.arange(LONGEST + 2))
+        first = np.searchsorted(length[order], np.arange(3 * LONGEST + 2))
         for n in np.unique(length):
             at = order[first[n] : first[n + 1]]
             for i in range(0, len(at), BATCH):
@@ -186,7 +207,11 @@ class BiGru:
                 total = p.sum(2, keepdims=True)
                 y -= np.log(total)
                 p /= total
-                out[part, :c], out[part, c:-1], out[part, -1] = y.sum(0), p.sum(0), n + 1
+                if n > LONGEST:  # pieces
+                    at_step = np.arange(n + 1)[:, None]
+                    mine = ((at_step >= begin[part]) & (at_step < end[part]))[:, :, None]
+                    y, p = y * mine, p * mine
+                out[part, :c], out[part, c:-1], out[part, -1] = y.sum(0), p.sum(0), end[part] - begin[part]
         return out
 
 
@@ -198,7 +223,7 @@ class Reader:
         self.sums = np.zeros((0, 2 * len(model.languages) + 1), np.float32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        docs = [words_of(t) if t and has_letter(t) else [] for t in texts]
+        docs = [readings(t) if t and has_letter(t) else [] for t in texts]
         new = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in self.place]
         sums = self.model.pooled(new)
         place = {w: len(self.sums) + i for i, w in enumerate(new)}

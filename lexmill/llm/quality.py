@@ -43,10 +43,12 @@ def features(text: str | None) -> set[bytes]:
     data = (text or "").encode()
     words, marks = data.translate(_WORD).split(), data.translate(_MARK).split()
     out = set(words)
+    kinds = len(out)
     capitals = sum(data.count(bytes([b])) for b in range(65, 91))
-    out.update(b"#" + m[:4] for m in set(marks))
+    out.update(b"#" + m for m in set(marks))
     out.add(b"#length%d" % min(12, int(math.log2(len(words) + 1))))
-    out.add(b"#distinct%d" % (10 * len(out) // (len(words) + 1) if len(words) < 1000 else 11))
+    # how the number of different words grows with that of all, the same for texts of any length
+    out.add(b"#distinct%d" % int(20 * math.log(kinds + 1) / math.log(len(words) + 2)))
     out.add(b"#capitals%d" % (10 * capitals // (len(data) + 1)))
     out.add(b"#marks%d" % min(10, 10 * len(marks) // (len(words) + 1)))
     return out
