@@ -172,6 +172,7 @@ def components(pairs: DataFrame, most: int = PAIRS_IN_ONE_TASK) -> DataFrame:
 
 def merge_targets(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """words with `target`: the head of the word's group where it is alike to it, else the word itself."""
+    words = cut(words, "words")  # read by both sides of the pairs, and once more here
     heads = components(similar_pairs(words, settings))
     joined = join_same(words, heads, ["category", "book", "word"], "left")
     target = F.when(alike(F.col("word"), F.col("head_word"), settings), F.col("head_word")).otherwise(F.col("word"))

@@ -521,6 +521,12 @@ def _tree(spark, sf_dir) -> DataFrame:
     return _pages(spark, sf_dir).select(F.concat("host", F.lit("/"), "path").alias("path"))
 
 
+@_query(_with(ADDRESS, then=r"""SELECT DISTINCT regexp_replace(split_part(path, '/', 1), '[^a-zA-Z0-9\x{0400}-\x{04FF}]', '', 'g') AS category FROM a
+WHERE contains(path, '/') AND regexp_replace(split_part(path, '/', 1), '[^a-zA-Z0-9\x{0400}-\x{04FF}]', '', 'g') <> ''"""))
+def initial_categories(spark, sf_dir):
+    return files.initial_categories(_pages(spark, sf_dir))
+
+
 TREE = "t AS (SELECT string_split(host || '/' || path, '/') AS p FROM a)"
 
 

@@ -1,33 +1,39 @@
-"""The whole way from books to vocabularies and translations, as lazy DataFrames."""
+"""The whole way from books to vocabularies and translations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from lexmill.operators import popularity, similarity, vocabulary
+from lexmill.operators import lemmas, popularity, similarity, vocabulary
 from lexmill.operators.joins import join_same
 from lexmill.schemas import DEFAULT, Settings
+from lexmill.sources.scratch import cut
 
 
-def vocabulary_of(books: DataFrame, *stop_lists: DataFrame, settings: Settings = DEFAULT, mend: bool = False) -> DataFrame:
-    """(category, book, word, cnt, target) of books (category, book, text), stop words taken out, merges decided."""
+def vocabulary_of(books: DataFrame, *stop_lists: DataFrame, settings: Settings = DEFAULT, mend: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
+    """(category, book, word, cnt, target) of books (category, book, text), stop words taken out, merges decided.
+
+    dictionary (word, lemma): words are first replaced by their lemmas, those outside it by rules learnt from it.
+    """
     words = vocabulary.word_counts(books, settings, mend)
+    if dictionary is not None:
+        words = lemmas.by_rules(words, dictionary)
     return similarity.merge_targets(vocabulary.without_stop_words(words, *stop_lists, settings=settings), settings)
 
 
-def run(books: DataFrame, general: list[Column], settings: Settings = DEFAULT, mend: bool = False) -> dict[str, DataFrame]:
-    """Tables by name. general: for each stop list, which books it is made of; all other books are the subject.
+def run(books: DataFrame, general: list[Column], settings: Settings = DEFAULT, mend: bool = False, dictionary: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables by name. general: for each stop list, which books it is made of; all other books are the subject; dictionary: as for vocabulary_of.
 
-    First the general books are made into vocabularies of their own, whose words are the stop lists of the second pass.
+    First the general books are made into vocabularies of their own, whose words are the stop lists of the second pass. Both passes end in a
+    table in the scratch folder, since what follows reads them several times.
     """
     is_general = general[0]
     for g in general[1:]:
         is_general = is_general | g
-    # both are read several times; unpersist them, or clear the cache, when done
-    first = similarity.clustered(vocabulary_of(books.where(is_general), settings=settings, mend=mend)).persist()
+    first = cut(similarity.clustered(vocabulary_of(books.where(is_general), settings=settings, mend=mend, dictionary=dictionary)), "general-words")
     stop = [first.where(g).select("word").distinct() for g in general]
     subject = books.where(~is_general)
-    targets = vocabulary_of(subject, *stop, settings=settings, mend=mend).persist()
+    targets = cut(vocabulary_of(subject, *stop, settings=settings, mend=mend, dictionary=dictionary), "subject-words")
     book_words = similarity.clustered(targets)
     union = vocabulary.union_of_books(book_words)
     return {

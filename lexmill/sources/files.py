@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 
+#: What the name of a category keeps is Latin letters, digits and all of the Cyrillic block.
+CATEGORY_DROPS = r"[^a-zA-Z0-9\u0400-\u04FF]"
 #: Text of a PDF file's bytes.
 Extractor = Callable[[bytes], str]
 
@@ -79,6 +81,13 @@ def python_sources(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(name.alias("file"), "value").where(~F.col("file").rlike("^[._]") & (F.col("file") != "setup.py")).select(F.regexp_replace("file", r"\.py$", "").alias("module"), F.col("value").alias("source"))
 
 
+def initial_categories(paths: DataFrame) -> DataFrame:
+    """(category) of the folders right under the root that hold a file in paths (path, below the root): letters and digits of their names, those of
+    which nothing is left without."""
+    named = paths.where(F.col("path").contains("/")).select(F.regexp_replace(F.substring_index("path", "/", 1), CATEGORY_DROPS, "").alias("category"))
+    return named.where("category <> ''").distinct()
+
+
 def folders(paths: DataFrame) -> DataFrame:
     """(folder, depth) of all folders above the files in paths (path)."""
     parts = F.split("path", "/")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import language as L
 from lexmill.operators import lemmas
+from lexmill.plans import pipeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,11 @@ def test_suffix_rules(spark):
     assert got == {"cat": 4, "tree": 2, "berry": 2, "brass": 2, "wa": 2, "s": 2, "go": 2}
     none = spark.createDataFrame([], dictionary.schema)
     assert {r.word for r in lemmas.by_rules(words, none).collect()} == {r.word for r in words.collect()}
+
+
+def test_lemmas_go_through_the_pipeline(spark):
+    books = spark.createDataFrame([("c", "g", "cats running often"), ("c", "b", "cats dogs towers tower table"), ("c", "d", "tower tables")], "category string, book string, text string")
+    dictionary = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("towers", "tower"), ("tables", "table")], "word string, lemma string")
+    out = pipeline.run(books, [F.col("book") == "g"], dictionary=dictionary)
+    assert {(r.word, r.cnt) for r in out["global_union"].collect()} == {("dog", 1), ("tower", 3), ("table", 2)}
+    assert {r.word for r in out["word_intersection"].collect()} == {"tower", "table"}

@@ -3,6 +3,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.operators import ledger
 from lexmill.sources import tables
 from lexmill.sources.stored import Conflict, StoredTable
 
@@ -74,3 +75,16 @@ def test_partitions_are_replaced(spark):
     tables.replace_partitions(spark.createDataFrame([], schema), name)
     assert spark.table(name).count() == 3
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_ledgers_of_categories(spark, tmp_path):
+    for name in ("en_non_science/a.txt", "Math 2/b.txt", "__/c.txt", "loose.txt", "Алгебра/d/e.txt"):
+        (tmp_path / "txt" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "txt" / name).write_text("x")
+    made = ledger.initialised(spark, f"{tmp_path}/txt", f"file://{tmp_path}/ledgers")
+    assert sorted(made) == ["Math2", "ennonscience", "Алгебра"] and made["Math2"].read().count() == 0
+    done = spark.createDataFrame([("Math 2/b.txt", 5)], "book_path string, word_count long")
+    made["Math2"].commit(ledger.marked(made["Math2"].read(), done))
+    again = ledger.initialised(spark, f"{tmp_path}/txt", f"file://{tmp_path}/ledgers")
+    assert [(r.book_path, r.word_count) for r in again["Math2"].read().collect()] == [("Math 2/b.txt", 5)] and again["ennonscience"].read().count() == 0
+    assert ledger.initialised(spark, f"{tmp_path}/none", f"file://{tmp_path}/ledgers") == {} == ledger.initialised(spark, f"{tmp_path}/txt/loose.txt", f"file://{tmp_path}/ledgers")
