@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
 def one_of_each(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Of each group of near-duplicates one row: that of the least id (rows without one come last), then of the least hash of id and text.
 
-    Rows are told apart by two 64-bit hashes of id and text, so rows that share an id don't go for one another; of rows equal in both one stays.
+    Rows are told apart by two 64-bit hashes of id and text, so rows that share an id don't go for one another; of rows equal in both one stays, that
+    of the least hash of all columns (but maps), so reruns agree.
     """
     key = lambda: F.struct(F.xxhash64(docs["doc_id"], docs["text"]).alias("a"), F.xxhash64(docs["text"], docs["doc_id"], F.lit(1)).alias("b"))
     place = F.struct(docs["doc_id"].isNull().alias("without"), docs["doc_id"].alias("doc_id"), key().alias("row")).alias("place")
@@ -193,8 +194,9 @@ def one_of_each(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     named = grouped(cut(each.groupBy("fp").agg(F.min("place").alias("place")), "simhash-fps"), longest)
     stays = cut(named.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("_stays")).distinct(), "simhash-stays")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    found = docs.select(row, key().alias("_stays")).join(stays, "_stays")
-    return found.groupBy("_stays").agg(F.first("row").alias("row")).select("row.*")
+    told = F.xxhash64(*[docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    found = docs.select(row, told.alias("_told"), key().alias("_stays")).join(stays, "_stays")
+    return found.groupBy("_stays").agg(F.min_by("row", "_told").alias("row")).select("row.*")
 
 
 def hex64(x: Column) -> Column:

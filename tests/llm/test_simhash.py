@@ -103,3 +103,13 @@ def test_rows_go_not_ids(spark):
     got = S.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r.row for r in got.collect()) in (["r1", "r3", "r4", "r7", "r9"], ["r1", "r3", "r4", "r7", "r8", "r9"])
     assert S.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_of_rows_equal_in_id_and_text_always_the_same_stays(spark):
+    rows = [(1, "some text of its own", f"s{i}", {"a": i}) for i in range(12)]
+    kept = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows[parts:] + rows[:parts], "doc_id long, text string, source string, more map<string,int>").repartition(parts)
+        (one,) = S.one_of_each(docs).collect()
+        kept.add(one.source)
+    assert len(kept) == 1
