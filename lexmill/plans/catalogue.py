@@ -59,7 +59,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = r"""tok AS (
   SELECT doc_id, lang AS category, source AS book, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents),
 fit AS (SELECT * FROM tok WHERE NOT regexp_matches(word, '\p{Nd}') AND length(word) BETWEEN 3 AND 17),
-wc AS (SELECT category, book, word, count(*)::BIGINT AS cnt FROM fit GROUP BY ALL)"""
+wc AS MATERIALIZED (SELECT category, book, word, count(*)::BIGINT AS cnt FROM fit GROUP BY ALL)"""
 
 #: DuckDB's levenshtein counts bytes: letters beyond ASCII are first mapped to capitals, which no word holds.
 ALIKE = "(abs(length({a}) - length({b})) <= 1 AND levenshtein(translate({a}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK'), translate({b}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')) <= least(2, 0.25::DOUBLE * greatest(length({a}), length({b}))))"
@@ -69,7 +69,7 @@ def _pairs_sql(words: str, out: str) -> str:
     """Pairs meet on the first letters and a length that is that of the one and within one of the other's."""
     alike = ALIKE.format(a="x.word", b="y.word")
     return f"""{out}_long AS MATERIALIZED (SELECT category, book, left(word, 4) AS prefix, length(word) AS len, word, cnt FROM {words} WHERE length(word) >= 5),
-{out}_met AS (SELECT *, unnest([len - 1, len, len + 1]) AS meets FROM {out}_long),
+{out}_met AS MATERIALIZED (SELECT *, unnest([len - 1, len, len + 1]) AS meets FROM {out}_long),
 {out} AS (
   SELECT x.category, x.book, x.prefix, x.word AS word_a, x.cnt AS cnt_a, y.word AS word_b, y.cnt AS cnt_b
   FROM {out}_long x JOIN {out}_met y ON x.category = y.category AND x.book = y.book AND x.prefix = y.prefix AND x.len = y.meets
@@ -93,7 +93,7 @@ def _groups_sql(words: str, p: str) -> str:
 {p}_kept AS (SELECT category, book, target AS word, sum(cnt)::BIGINT AS cnt FROM {p}_target GROUP BY ALL)"""
 
 
-UNION = "gu AS (SELECT category, word, sum(cnt)::BIGINT AS cnt FROM wc GROUP BY ALL)"
+UNION = "gu AS MATERIALIZED (SELECT category, word, sum(cnt)::BIGINT AS cnt FROM wc GROUP BY ALL)"
 POPULAR = """r0 AS (
   SELECT *, row_number() OVER (PARTITION BY category ORDER BY cnt DESC, word) AS rn,
          (sum(cnt) OVER (PARTITION BY category ORDER BY cnt DESC, word ROWS UNBOUNDED PRECEDING))::BIGINT AS running,
@@ -102,7 +102,7 @@ POPULAR = """r0 AS (
 r1 AS (SELECT *, greatest(1, floor(n * 0.05::DOUBLE)) AS mn, greatest(greatest(1, floor(n * 0.05::DOUBLE)), floor(n * 0.4::DOUBLE)) AS mx FROM r0),
 r2 AS (SELECT category, greatest(arg_min(cnt, rn), 5) AS cut FROM r1 WHERE (rn >= mn AND running >= total * 0.6::DOUBLE) OR rn >= mx GROUP BY category),
 r3 AS (SELECT r1.*, least(count(*) FILTER (cnt >= cut) OVER (PARTITION BY r1.category), mx) AS np FROM r1 JOIN r2 USING (category)),
-pop AS (SELECT category, word, cnt, rn FROM r3 WHERE rn <= CASE WHEN np >= mn THEN np ELSE mn END)"""
+pop AS MATERIALIZED (SELECT category, word, cnt, rn FROM r3 WHERE rn <= CASE WHEN np >= mn THEN np ELSE mn END)"""
 CACHE = "cache AS (SELECT word, reverse(word) AS translation FROM (SELECT DISTINCT word FROM wc) WHERE length(word) % 2 = 0)"
 VALID = "(trim({t}) <> '' AND {t} <> '\"\"' AND {t} <> '—' AND lower({t}) <> lower({w}))"
 SCIENCE = "sc AS (SELECT * FROM wc WHERE book NOT IN ('src0', 'src1'))"
@@ -380,7 +380,7 @@ def cache_bidirectional(spark, sf_dir):
 
 
 @_query(_with(TOKENS, UNION, POPULAR, """o AS (SELECT category, word, 0::BIGINT AS cnt, word || 'x' AS translation FROM gu WHERE length(word) = 5),
-n AS (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.category = o.category AND n.word = o.word)"))
+n AS MATERIALIZED (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (category, word)"))
 def translations_upsert(spark, sf_dir):
     union = vocabulary.union_of_books(_words(spark, sf_dir))
     old = union.where(F.length("word") == 5).select("category", "word", F.lit(0).cast("long").alias("cnt"), F.concat("word", F.lit("x")).alias("translation"))
@@ -389,7 +389,7 @@ def translations_upsert(spark, sf_dir):
 
 
 @_query(_with(TOKENS, UNION, POPULAR, """o AS (SELECT category, word, 0::BIGINT AS cnt, word || 'x' AS translation FROM gu WHERE length(word) = 5),
-n AS (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT 2 AS version, * FROM n UNION ALL SELECT 2, * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.category = o.category AND n.word = o.word) UNION ALL SELECT 1, * FROM o"))
+n AS MATERIALIZED (SELECT category, word, cnt, reverse(word) AS translation FROM pop)""", then="SELECT 2 AS version, * FROM n UNION ALL SELECT 2, o.* FROM o ANTI JOIN n USING (category, word) UNION ALL SELECT 1, * FROM o"))
 def stored_translations(spark, sf_dir):
     """Translations stored in one version and upserted in the next; both are read back."""
     union = vocabulary.union_of_books(_words(spark, sf_dir))
