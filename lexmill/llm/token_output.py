@@ -21,7 +21,7 @@ in ASCII lower case. Pieces that might hold a special token are not split. This
 tokenizers that split words from punctuation and lower-case them, as word_bpe_49k.json does.
 
 Nulls and ties. A null text is empty: its ids are the end id alone. Null doc_ids come first. Rows with
-equal doc_id each get their own place, in any order among them. An empty table gives no shard and no row.
+equal doc_id each get their own place, in any order among them. Ids are longs, or what casts to one; any other fails the job. An empty table gives no shard and no row.
 """
 
 from __future__ import annotations
