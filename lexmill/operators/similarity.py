@@ -3,7 +3,7 @@
 Two words are alike if they share their first letters, differ in length by one at most, and are at
 most two edits and a quarter of the longer one's length apart.
 
-Pairs. What follows the common beginning of the shorter word is cut into one segment more than there may be edits, k. Edits that
+Pairs. Words of one beginning are compared with one another where they are few. Where they are many, what follows the common beginning of the shorter word is cut into one segment more than there may be edits, k. Edits that
 number k at most leave a segment untouched, segment i say, with i edits before it and k - i after it; so it is in the longer word
 too, shifted by i at most from the start and by k - i from the end. The shorter word's segments are joined with those pieces of the longer one, and only
 words that share one are compared. Only a rest of k letters or fewer has an empty segment, which all words of that length and beginning share:
@@ -15,6 +15,7 @@ too many pairs of one beginning for that, in rounds over the cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +28,10 @@ from lexmill.operators.joins import join_same
 from lexmill.schemas import DEFAULT, Settings
 from lexmill.sources.scratch import cut
 
+#: Words of one (category, book, beginning) that are compared all with all: so many take less time than their segments do.
+WORDS_COMPARED = 2_000
+#: Pairs that one task compares, about.
+COMPARED_IN_ONE_TASK = 1_000_000
 #: Pairs of one (category, book, beginning) whose groups are found in one task's memory.
 PAIRS_IN_ONE_TASK = 1_000_000
 
@@ -88,13 +93,30 @@ def met_pairs(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return met.where((F.length("word_a") < F.length("word_b")) | (F.col("word_a") < F.col("word_b"))).drop("on")
 
 
-def similar_pairs(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(category, book, prefix, word_a, cnt_a, word_b, cnt_b), the more frequent (then alphabetically first) word as a."""
-    found = met_pairs(words, settings).where(alike(F.col("word_a"), F.col("word_b"), settings)).distinct()
+def similar_pairs(words: DataFrame, settings: Settings = DEFAULT, block: int = WORDS_COMPARED) -> DataFrame:
+    """(category, book, prefix, word_a, cnt_a, word_b, cnt_b), the more frequent (then alphabetically first) word as a.
+
+    A (category, book, beginning) with up to `block` words has all of them compared, one with more by their segments; the pairs are the same.
+    """
+    keys = ["category", "book", "prefix"]
     first = (F.col("cnt_a") > F.col("cnt_b")) | ((F.col("cnt_a") == F.col("cnt_b")) & (F.col("word_a") < F.col("word_b")))
+    near = alike(F.col("word_a"), F.col("word_b"), settings)
+    long_words = cut(words.where(F.length("word") >= settings.merge_from).select("category", "book", "word", "cnt", F.substring("word", 1, settings.prefix).alias("prefix")), "long-words")
+    sizes = cut(long_words.groupBy(*keys).agg(F.count("*").alias("_n")), "beginnings")
+    crowded = sizes.where(F.col("_n") > block).select(*keys)
+    n, work = sizes.agg(F.count_if(F.col("_n") > block), F.sum(F.when(F.col("_n") <= block, F.col("_n") * F.col("_n")))).first()
+    none = not n
+    few = long_words if none else join_same(long_words, crowded, keys, "left_anti")
+    side = lambda x: few.select(*keys, F.col("word").alias(f"word_{x}"), F.col("cnt").alias(f"cnt_{x}"))
+    # the work is in the pairs: where the other side is small enough to be broadcast, bytes would make it a task or two
+    tasks = math.ceil((work or 1) / COMPARED_IN_ONE_TASK)
+    pairs = join_same(side("a").repartition(tasks, *keys), side("b"), keys).where(first & near)
+    if none:
+        return pairs
+    found = met_pairs(join_same(long_words, crowded, keys, "left_semi"), settings).where(near).distinct()
     a, b = F.struct(F.col("word_a").alias("word"), F.col("cnt_a").alias("cnt")), F.struct(F.col("word_b").alias("word"), F.col("cnt_b").alias("cnt"))
-    ordered = found.select("category", "book", "prefix", F.when(first, a).otherwise(b).alias("a"), F.when(first, b).otherwise(a).alias("b"))
-    return ordered.select("category", "book", "prefix", F.col("a.word").alias("word_a"), F.col("a.cnt").alias("cnt_a"), F.col("b.word").alias("word_b"), F.col("b.cnt").alias("cnt_b"))
+    ordered = found.select(*keys, F.when(first, a).otherwise(b).alias("a"), F.when(first, b).otherwise(a).alias("b"))
+    return pairs.unionByName(ordered.select(*keys, F.col("a.word").alias("word_a"), F.col("a.cnt").alias("cnt_a"), F.col("b.word").alias("word_b"), F.col("b.cnt").alias("cnt_b")))
 
 
 def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +194,7 @@ def components(pairs: DataFrame, most: int = PAIRS_IN_ONE_TASK) -> DataFrame:
 
 def merge_targets(words: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """words with `target`: the head of the word's group where it is alike to it, else the word itself."""
-    words = cut(words, "words")  # read by both sides of the pairs, and once more here
+    words = cut(words, "words")  # read for the pairs, and once more here
     heads = components(similar_pairs(words, settings))
     joined = join_same(words, heads, ["category", "book", "word"], "left")
     target = F.when(alike(F.col("word"), F.col("head_word"), settings), F.col("head_word")).otherwise(F.col("word"))

@@ -87,13 +87,14 @@ def test_pairs_against_all_pairs(spark, how):
     names = close_words(rng, "abé", 80) + close_words(rng, "abcdefghijk", 80)
     counts = {w: rng.randint(1, 3) for w in names}
     rows = [("c", b, w, n) for b in (None, "x") for w, n in counts.items()] + [(None, "x", w, 1) for w in names[:20]]
-    got = S.similar_pairs(spark.createDataFrame(rows, WORDS), settings).collect()
+    words = spark.createDataFrame(rows, WORDS)
+    got, blocks = (S.similar_pairs(words, settings, block).collect() for block in (0, 60))
 
     def near(a, b):
         return a[:4] == b[:4] and min(len(a), len(b)) >= 5 and abs(len(a) - len(b)) <= settings.length_gap and (d := lev(a, b)) <= settings.edits and d <= settings.edit_share * max(len(a), len(b))
 
     want = [(c, b, w[:4], w, n, v, m) for c, b, w, n in rows for d, e, v, m in rows if (c, b) == (d, e) and (-n, w) < (-m, v) and near(w, v)]
-    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) == sorted(map(tuple, blocks), key=repr)
 
 
 def test_few_pairs_meet(spark):
