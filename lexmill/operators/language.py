@@ -74,16 +74,17 @@ def identify(texts: DataFrame, keys: list[str], model: LanguageModel) -> DataFra
     words = X.each(texts, *keys, word=F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).groupBy(*keys, "word").agg(F.count("*").alias("n"))
     words = cut(words, "language-words")
     each_word = X.each(words.select("word").distinct(), "word", gram=_grams(F.col("word")))
-    gains = each_word.join(model.grams, "gram").groupBy("word", "language").agg(F.sum("gain").alias("gain"))
-    gained = words.join(gains, "word").groupBy(*keys, "language").agg(F.sum(F.col("n") * F.col("gain")).alias("gained"))
-    options = F.array(*[F.struct(F.lit(k).alias("language"), F.lit(v).cast("long").alias("base")) for k, v in sorted(model.base.items())])
-    totals = words.groupBy(*keys).agg(F.sum(F.col("n") * F.length("word")).alias("grams"))
     every = texts.select(*keys).distinct()
     if not model.base:
         return every.select(*keys, F.lit("und").alias("language"))
-    scored = join_same(totals.select(*keys, "grams", F.explode(options).alias("o")).select(*keys, "grams", "o.language", "o.base"), gained, [*keys, "language"], "left")
-    score = F.col("grams") * F.col("base") + F.coalesce("gained", F.lit(0))
-    best = scored.groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), F.col("language").alias("l")))["l"].alias("language"))
+    # a column for each language: rows would be shuffled once more for each of them
+    languages = sorted(model.base.items())
+    gain = [F.sum(F.when(F.col("language") == k, F.col("gain"))).alias(f"_gain{i}") for i, (k, _) in enumerate(languages)]
+    gains = each_word.join(model.grams, "gram").groupBy("word").agg(*gain)
+    grams = F.sum(F.col("n") * F.length("word"))
+    score = lambda i, base: grams * base + F.coalesce(F.sum(F.col("n") * F.col(f"_gain{i}")), F.lit(0))
+    options = [F.struct((-score(i, base)).alias("s"), F.lit(k).alias("l")) for i, (k, base) in enumerate(languages)]
+    best = words.join(gains, "word", "left").groupBy(*keys).agg(F.array_min(F.array(*options))["l"].alias("language"))
     return join_same(every, best, keys, "left").select(*keys, F.coalesce("language", F.lit("und")).alias("language"))
 
 
