@@ -33,3 +33,10 @@ def test_pairs_are_the_same_where_rests_are_dealt_out(spark):
     rows = lambda *bounds: sorted(map(tuple, S.similar_pairs(words, S.DEFAULT, *bounds).collect()), key=repr)
     want = rows()
     assert rows(0, 0) == want == rows(0, 50) and len(want) > 50
+
+
+def test_more_pairs_are_grouped_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRS_A_TASK", 20, raising=False)
+    words = spark.createDataFrame([("c", "b", w, 1) for w in close_words(random.Random(5), "abc", 60)], WORDS)
+    pairs = S.similar_pairs(words)
+    assert S.components(pairs).rdd.getNumPartitions() == -(-pairs.count() // 20) > 4
